@@ -120,13 +120,13 @@ def pack(docs: DataFrame, path: str, folder: str, window: int = WINDOW, n_open:
     """One row for each piece. Partitions are packed as they are scanned: texts are not shuffled."""
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part_no, packer = tokens.encoder(path).encode, TaskContext.get().partitionId(), Packer(window, n_open)
+        encode, part_no, packer = tokens.encoder(path).encode_batch, TaskContext.get().partitionId(), Packer(window, n_open)
 
         def rows() -> Iterator[tuple]:
             n = 0
             for part in parts:
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    for sequence in packer.add(doc_id, encode(text.as_py()) + tokens.END):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    for sequence in packer.add(doc_id, ids + tokens.END):
                         yield from _rows((part_no << 32) + n, sequence)
                         n += 1
             sequences, tail = packer.finish()

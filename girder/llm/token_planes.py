@@ -165,7 +165,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, bits: bool = False, bl
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encode = TaskContext.get(), tokens.encoder(path).encode
+        context, encode = TaskContext.get(), tokens.encoder(path).encode_batch
         store, root = shared.filesystem(folder)
         name = f"ids-{context.partitionId():06d}-{context.taskAttemptId()}.idp"
         writer = out = None
@@ -174,8 +174,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, bits: bool = False, bl
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}")
                 writer = Writer(out, block_ids, bits)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                writer.add(doc_id, encode(text.as_py()) + tokens.END)
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                writer.add(doc_id, ids + tokens.END)
         if writer is not None:
             writer.close()
             out.close()

@@ -9,8 +9,10 @@ import numpy as np
 #: The id that ends a document.
 END_ID = 2
 END = np.uint32(END_ID).tobytes()
-#: Words whose ids a worker remembers; past this many it forgets all and starts again.
-REMEMBERED = 300_000
+#: Parts of texts, and bare words, whose ids a worker remembers in each of two generations.
+REMEMBERED = 400_000
+#: Signs that may end a part; with letters alone before them, the vocabulary always cuts there.
+SIGNS = ".,;:!?|%$&*#"
 
 
 def default_path() -> str:
@@ -19,13 +21,32 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memory:
+    """Ids by string, in two generations: what is not met while one fills up is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys not met in either generation; those of the old one move to the young."""
+        new = keys.difference(self.young)
+        known = {k: self.old[k] for k in new if k in self.old}
+        self.young.update(known)
+        return new.difference(known)
+
+
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space before it looks for words, and neither its normaliser nor its
     merges reach across a blank or a line end. So the ids of a text are the ids of its parts between
-    blanks and line ends, one after another, and parts met before need not be encoded again.
-    A null or empty text has no ids.
+    blanks and line ends, one after another, and parts met before need not be encoded again. Nor does a
+    merge reach from letters to the signs behind them, and ASCII letters are lower-cased: so the parts
+    `Word`, `word` and `word,` share the ids of one bare word. A null or empty text has no ids.
     """
 
     def __init__(self, path: str | None = None):
@@ -33,24 +54,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.parts, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.signs: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            return self._learn(parts)
-
-    def _learn(self, parts: list[str]) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for p in parts if p not in self.known})
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.parts.turn()
+        if new := self.parts.missing(set().union(*cut)):
+            self._learn(new)
+        ids = self.parts.young.__getitem__
+        return [b"".join(map(ids, parts)) for parts in cut]
+
+    def _learn(self, new: set[str]) -> None:
+        bare, odd = [], []
+        for part in new:
+            word = part.rstrip(SIGNS)
+            if word.isalpha():
+                bare.append((part, word.lower() if word.isascii() else word, part[len(word) :]))
+            else:
+                odd.append(part)
+        self.words.turn()
+        if words := list(self.words.missing({w for _, w, _ in bare})):
+            self.words.young.update(zip(words, self._bare(words), strict=True))
+        if signs := list({s for _, _, s in bare}.difference(self.signs)):
+            self.signs.update(zip(signs, self._each(signs), strict=True))
+        young, signs, parts = self.words.young, self.signs, self.parts.young
+        for part, word, tail in bare:
+            parts[part] = young[word] + signs[tail] if tail else young[word]
+        parts.update(zip(odd, self._each(odd), strict=True))
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _bare(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters. Many go in one string; each ends at the one id that ends a word."""
+        out = []
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):  # a letter that its lower case turns into more than letters
+                out += self._each(some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
