@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_planes, warc
+from . import exact_dedup, language_id, packing, quality, token_planes, warc
 
 QUERIES = {
     "op1_token_planes": token_planes.query,
     "op2_warc": warc.query,
     "op3_packing": packing.query,
+    "op4_quality": quality.query,
+    "op6_exact_dedup": exact_dedup.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLES = {
     "op2_warc": warc.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
 }
