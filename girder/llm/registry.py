@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, quality, token_planes, warc
+from . import exact_dedup, language_id, minhash, packing, pii, quality, token_planes, warc
 
 QUERIES = {
     "op1_token_planes": token_planes.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_quality": quality.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_pii": pii.query,
+    "op8_minhash": minhash.query,
     "op10_language_id": language_id.query,
 }
 
