@@ -7,8 +7,9 @@
 3. In each block, signatures are compared, and of all pairs that look near a spanning forest of the most alike is
    proposed: at most one pair fewer than the block has members.
 4. Proposed pairs are confirmed on their full sets, and large-star and small-star give components.
-5. Only buckets that hold more than one component are looked at again: then all pairs between components that look
-   near are confirmed, across blocks too. A pair of one component needs no test, as it can change nothing.
+5. Only buckets that hold more than one component are looked at again: all that is not of a bucket's largest component
+   is compared with all of the bucket, block by block on full sets, and only links leave a block. A pair within one
+   component needs no test, as it can change nothing.
 
 A pair of similarity 0.8 shares no band with a probability of (1 - 0.8^4)^28, below 10^-6; its signatures look
 further apart than `LOOKS_NEAR` with one below 10^-5.
@@ -37,6 +38,8 @@ HASHES = BANDS * ROWS
 #: Of the 8-bit minima so many must agree before sets are compared: five standard deviations below 0.8.
 LOOKS_NEAR = 68
 BLOCK = 512
+#: Blocks of full sets have so many shingles at most, but for one more set.
+BLOCK_SHINGLES = 1 << 21
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -173,48 +176,36 @@ def proposed(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def between(members: DataFrame) -> DataFrame:
-    """All pairs that look near and lie in different components, from (bucket, i, j, role, node, root, signature).
+def packed(found: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; two different shingles of a pair fall together once in 10^9 pairs."""
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    In each block (bucket, i, j) the rows of role 0 are compared with the rows of role 1.
-    """
-
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs() -> Iterator[tuple]:
-            for block in _blocks(parts, 3):
-                role = block.column("role").to_numpy()
-                nodes, roots, signs = block.column("node").to_numpy(), block.column("root").to_numpy(), _signatures(block)
-                for k in np.flatnonzero(role == 0):
-                    other = (role == 1) & (roots != roots[k])
-                    agree = (signs[other] == signs[k]).sum(axis=1)
-                    for node in nodes[other][agree >= LOOKS_NEAR].tolist():
-                        yield min(node, int(nodes[k])), max(node, int(nodes[k]))
-
-        yield from shared.batches(pairs(), PAIRS)
 
-    n = shared.partitions(members.sparkSession)
-    dealt = members.select("bucket", "i", "j", "role", "node", "root", "signature").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, width: int, near: int) -> DataFrame:
-    """Those of `pairs` (a, b: places of rows) whose full sets are near. Sets are made again from the texts.
+def full_sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the rows at these places. Sets are made again from the texts, which are shuffled once.
 
-    Hashes travel with 48 bits; two different shingles of a pair fall together once in 10^9 pairs.
+    The join is a merge at any size: the places grow with the input and are never broadcast.
     """
 
     def pack(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
         for part in parts:
-            sets = [shingles(t.as_py(), width).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(shingles(t.as_py(), width)) for t in part.column(1)], pa.binary())], schema=schema)
 
-    def compare(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpacked(raw: bytes) -> np.ndarray:
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return wide.view(">u8").ravel().astype(np.uint64)
+    asked = nodes.select(F.col("node").alias("_row")).distinct().hint("merge")
+    return rows.select("_row", "text").join(asked, "_row", "left_semi").mapInArrow(pack, "node long, shingles binary")
 
+
+def confirmed(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """Those of `pairs` (a, b: nodes) whose full sets are near."""
+
+    def compare(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             good, last, known = [], None, None
             for a, x, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
@@ -225,51 +216,83 @@ def confirmed(pairs: DataFrame, rows: DataFrame, width: int, near: int) -> DataF
                 good.append(100 * both >= near * (len(known) + len(other) - both))
             yield pa.RecordBatch.from_arrays(part.columns[:2], schema=PAIRS).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = rows.select("_row", "text").join(asked, "_row", "left_semi").mapInArrow(pack, "node long, shingles binary")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def between(members: DataFrame, near: int) -> DataFrame:
+    """All near pairs (a < b) of different components, from (bucket, i, j, role, node, root, shingles).
+
+    In each block (bucket, i, j) the full sets of role 0 are compared with those of role 1; only links leave a block.
+    """
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple]:
+            for block in _blocks(parts, 3):
+                role = block.column("role").to_numpy()
+                asks, gives = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+                if not len(asks) or not len(gives):
+                    continue
+                nodes, roots = block.column("node").to_numpy(), block.column("root").to_numpy()
+                sets = [unpacked(x) for x in block.column("shingles").to_pylist()]
+                known, place = np.unique(np.concatenate([sets[k] for k in gives]), return_inverse=True)
+                sizes = np.array([len(sets[k]) for k in gives])
+                starts = np.cumsum(sizes) - sizes
+                for k in asks:
+                    mine = sets[k]
+                    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    has = np.zeros(len(known), bool)
+                    has[at[known[at] == mine]] = True
+                    both = np.add.reduceat(has[place], starts, dtype=np.int64)
+                    link = (100 * both >= near * (sizes + len(mine) - both)) & (roots[gives] != roots[k])
+                    for node in nodes[gives[link]].tolist():
+                        yield min(node, int(nodes[k])), max(node, int(nodes[k]))
+
+        yield from shared.batches(pairs(), PAIRS)
+
+    n = shared.partitions(members.sparkSession)
+    dealt = members.select("bucket", "i", "j", "role", "node", "root", "shingles").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, folder: str, width: int = 5, near: int = NEAR) -> DataFrame:
     """One row for each document: _row, doc_id, n_shingles, component_id, and `kept` for one row of each component."""
     rows = shared.with_row_address(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_row", "doc_id", "text")
     own = shared.written(signed(rows, width), folder, "signed")
-    first = F.min(F.struct("_row", "signature", "bands")).alias("first")
+    first = F.min(F.struct("_row", "n_shingles", "signature", "bands")).alias("first")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
     classes = own.where("key is not null").groupBy("key").agg(first, F.min(order).alias("best"))
-    classes = shared.written(classes.select("key", F.col("first._row").alias("node"), "best", "first.signature", "first.bands"), folder, "classes")
+    classes = shared.written(classes.select("key", F.col("first._row").alias("node"), "first.n_shingles", "best", "first.signature", "first.bands"), folder, "classes")
 
     each = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = each.join(sizes, "bucket").join(classes.select("node", "signature"), "node")
+    members = each.join(sizes, "bucket").join(classes.select("node", "n_shingles", "signature"), "node")
     parts = F.ceil(F.col("n") / BLOCK)
-    members = shared.written(members.select("bucket", "n", F.pmod(F.xxhash64("node", "bucket"), parts).alias("salt"), "node", "signature"), folder, "members")
+    members = shared.written(members.select("bucket", "n", F.pmod(F.xxhash64("node", "bucket"), parts).alias("salt"), "node", "n_shingles", "signature"), folder, "members")
 
     tried = shared.written(proposed(members), folder, "proposed")
-    links = shared.written(confirmed(tried, rows, width, near), folder, "confirmed")
+    sets = shared.written(full_sets(rows, members, width), folder, "sets")
+    links = shared.written(confirmed(tried, sets, near), folder, "confirmed")
     roots = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), f"{folder}/stars-1")
 
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n_root"))
-    mixed = by_root.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("n")).where("n_roots > 1")
-    mixed = mixed.select("bucket", F.col("main.root").alias("main"), F.col("n").alias("n_all"), (F.col("n") - F.col("main.n_root")).alias("n_rest"))
-    open_ = shared.written(placed.select("bucket", "node", "root", "signature").join(mixed, "bucket"), folder, "open")
+    by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n_root"), F.sum("n_shingles").alias("s_root"))
+    mixed = by_root.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n_root", "root", "s_root")).alias("main"), F.sum("n_root").alias("n"), F.sum("s_root").alias("s")).where("n_roots > 1")
     # the rest of a bucket, in parts i, against all of it, in parts j: no pair within the largest component is made
-    i_parts, j_parts = F.ceil(F.col("n_rest") / BLOCK).cast("int"), F.ceil(F.col("n_all") / BLOCK).cast("int")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("s")).alias("j_parts"), blocks(F.col("n") - F.col("main.n_root"), F.col("s") - F.col("main.s_root")).alias("i_parts"))
+    open_ = shared.written(placed.select("bucket", "node", "root").join(mixed, "bucket"), folder, "open")
     part = lambda parts: F.pmod(F.xxhash64("node", "bucket"), parts).cast("int")
-    others = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    asks = open_.where("root <> main").withColumn("i", part(i_parts)).withColumn("j", others(j_parts)).withColumn("role", F.lit(0))
-    gives = open_.withColumn("j", part(j_parts)).withColumn("i", others(i_parts)).withColumn("role", F.lit(1))
-    columns = ["bucket", "i", "j", "role", "node", "root", "signature"]
-    more = between(asks.select(columns).unionAll(gives.select(columns)))
-    more = shared.written(more.join(tried, ["a", "b"], "left_anti"), folder, "between")
+    others = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    asks = open_.where("root <> main").withColumn("i", part(F.col("i_parts"))).withColumn("j", others("j_parts")).withColumn("role", F.lit(0))
+    gives = open_.withColumn("j", part(F.col("j_parts"))).withColumn("i", others("i_parts")).withColumn("role", F.lit(1))
+    columns = ["bucket", "i", "j", "role", "node", "root"]
+    more = between(asks.select(columns).unionAll(gives.select(columns)).join(sets, "node"), near)
+    more = shared.written(more, folder, "between")
     if not more.isEmpty():
-        added = shared.written(confirmed(more, rows, width, near), folder, "confirmed-2")
-        if not added.isEmpty():
-            links = links.unionAll(added)
-            roots = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), f"{folder}/stars-2")
+        links = links.unionAll(more)
+        roots = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), f"{folder}/stars-2")
 
     groups = classes.select("key", "node", "best").join(roots, "node", "left").select("key", "best", F.coalesce("root", "node").alias("root"))
     groups = shared.written(groups, folder, "groups")
