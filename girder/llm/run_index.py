@@ -10,14 +10,16 @@ never cross documents and are judged on the input.
 3. A shard sends each distinct (anchor, context) once, as hashes of 64 bits each, to a bucket by the anchor's hash. The
    bucket answers whether the context is in an earlier shard (then all of it goes), or only the anchor has
    more contexts (then the context itself is asked for), or neither.
-4. Contexts that were asked for go to their bucket. There a run-length index is built over them in the order of
-   the corpus: a run-compressed Burrows-Wheeler transform with suffix-array samples at run ends and, for each
-   stretch of rows that agree in `MATCH` bytes, its earliest place. Contexts are streamed through it from their
+4. Contexts that were asked for are cut into bands of `BAND` starts each. What all strings of a band share, some 85
+   bytes, is the key by which bands go to buckets; a key met once is dropped there. Over the rest a run-length index is
+   built in the order of the corpus, some keys at a time: a run-compressed Burrows-Wheeler transform with suffix-array samples at run ends and, for each
+   stretch of rows that agree in `MATCH` bytes, its earliest place. The bands are streamed through it from their
    ends, which gives the match of every place with what lies before it; matches of `MATCH` bytes are marked.
 5. Each shard takes away what was marked.
 
 Copies inside a shard and between shards meet as hashes before any context moves, so a passage that a third of all
-documents have costs one entry a shard. Every piece of a shard's work is a function of its file.
+documents have costs one entry a shard; short lines that many documents have around different words part by the longer
+keys. Every piece of a shard's work is a function of its file.
 
 Edge cases: null and empty texts have no bytes and keep the digest of nothing; rows of one doc_id are ordered by text, and
 the later ones of equal rows lose all if they have `MATCH` bytes; a null doc_id comes first; an empty table gives no
@@ -31,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,10 @@ MATCH = 100
 GRAM = 36
 #: Strings that start in one piece of a text; longer texts are hashed piece by piece.
 PIECE = 1 << 17
+#: Starts of strings in a band of a context.
+BAND = 16
+#: Bytes of one index, but for a key that has more.
+INDEX_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -322,58 +329,94 @@ def _by_shard(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(shared.partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", "bucket")
 
 
+def bands(left: int, right: int, match: int, reach: int) -> list[tuple[int, int, int]]:
+    """(bytes before the anchor: of the key, at least, at most) of the strings of each band."""
+    out = []
+    for first in range(0, reach + 1, BAND):
+        low, high = max(first, match - right), min(first + BAND - 1, left)
+        if low <= high:
+            out.append((first, low, high))
+    return out
+
+
 def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram: int) -> DataFrame:
     """(shard, bucket, spans): text number, first byte and end of what goes, as 32-bit integers."""
-    sent = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
+    sent = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("head", pa.binary()), ("body", pa.binary())])
     told = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary())])
+    n, shared_bytes = len(names), match - BAND + 1
 
     def send(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
             shard = block.column("shard")[0].as_py()
             texts = read_shard(folder, names[shard])[1]
             found = Anchors(texts, match, gram)
-            borders, rows = found.buckets(len(names)), []
-            for bucket, codes in zip(block.column("bucket").to_pylist(), block.column("codes").to_pylist(), strict=True):
-                at = found.first[borders[bucket] : borders[bucket + 1]][np.frombuffer(codes, np.uint8) == ASKED]
-                if len(at):
-                    head = np.stack([found.text[at], found.place[at], found.left[at], found.right[at]]).astype("<i4")
-                    rows.append((bucket, shard, head.tobytes(), b"".join(texts[t][p - a : p + b] for t, p, a, b in head.T.tolist())))
-            yield from shared.batches(rows, sent, 64)
+            codes, borders = np.zeros(len(found.first), np.uint8), found.buckets(n)
+            for bucket, blob in zip(block.column("bucket").to_pylist(), block.column("codes").to_pylist(), strict=True):
+                codes[borders[bucket] : borders[bucket + 1]] = np.frombuffer(blob, np.uint8)
+            at = found.first[codes == ASKED]
+            keys, heads, bodies = [], [], []
+            for t, p, a, b in zip(found.text[at].tolist(), found.place[at].tolist(), found.left[at].tolist(), found.right[at].tolist(), strict=True):
+                raw = texts[t]
+                for first, low, high in bands(a, b, match, match - gram):
+                    keys.append(xxhash.xxh3_64_intdigest(raw[p - first : p - first + shared_bytes], first))
+                    heads.append((t, p - high, match + high - low))
+                    bodies.append(raw[p - high : p - low + match])
+            keys, heads = np.array(keys, np.uint64), np.array(heads, "<i4").reshape(-1, 3)
+            to = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            order = np.argsort(to, kind="stable")
+            border = np.searchsorted(to[order], np.arange(n + 1)).tolist()
+            groups = ((k, order[border[k] : border[k + 1]]) for k in range(n) if border[k] < border[k + 1])
+            yield from shared.batches(((k, shard, keys[g].tobytes(), heads[g].tobytes(), b"".join(bodies[i] for i in g.tolist())) for k, g in groups), sent, 64)
 
     def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
             block = block.sort_by("shard")
-            heads = [np.frombuffer(x, "<i4").reshape(4, -1) for x in block.column("head").to_pylist()]
-            shard = np.repeat(block.column("shard").to_numpy(), [x.shape[1] for x in heads])
-            text, place, left, right = np.concatenate(heads, axis=1).astype(np.int64)
-            body = b"".join(block.column("body").to_pylist())
-            size = left + right
-            start = np.cumsum(size) - size
-            order = np.lexsort((place, text, shard))  # the order of the corpus
-            of = np.stack([shard[order], text[order]])
-            number = np.cumsum(np.concatenate([[0], (of[:, 1:] != of[:, :-1]).any(axis=0)]))
-            begin = (number << 40) + (place - left)[order]
-            index = RunIndex([body[start[k] : start[k] + size[k]] for k in order], match, begin)
+            each = [np.frombuffer(x, np.uint64) for x in block.column("keys").to_pylist()]
+            shard = np.repeat(block.column("shard").to_numpy(), [len(x) for x in each])
+            key = np.concatenate(each)
+            text, start, size = np.frombuffer(b"".join(block.column("head").to_pylist()), "<i4").reshape(-1, 3).T.astype(np.int64)
+            body, bucket = b"".join(block.column("body").to_pylist()), block.column("bucket")[0].as_py()
+            offset = np.cumsum(size) - size
+            order = np.lexsort((start, text, shard, key))
+            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            group = np.cumsum(new) - 1
+            order = order[np.bincount(group)[group] > 1]  # a key met once has no equal
             rows: dict[int, list[np.ndarray]] = {}
-            for which, at in index.repeated():
-                k = order[which]
-                first = place[k] - left[k] + at
-                for s in np.unique(shard[k]).tolist():
-                    of = shard[k] == s
-                    rows.setdefault(s, []).append(np.stack([text[k][of], first[of], first[of] + match]))
-            bucket = block.column("bucket")[0].as_py()
-            out = []
-            for s, spans in sorted(rows.items()):
-                t, a, b = _joined(np.concatenate(spans, axis=1))
-                out.append((s, bucket, np.stack([t, a, b]).astype("<i4").tobytes()))
+            for some in _portions(order, key, size):
+                some = some[np.lexsort((start[some], text[some], shard[some]))]  # the order of the corpus
+                of = np.stack([shard[some], text[some]])
+                number = np.cumsum(np.concatenate([[0], (of[:, 1:] != of[:, :-1]).any(axis=0)]))
+                index = RunIndex([body[offset[k] : offset[k] + size[k]] for k in some], match, (number << 40) + start[some])
+                got = list(index.repeated())
+                if got:
+                    k, at = some[np.concatenate([x for x, _ in got])], np.concatenate([x for _, x in got])
+                    first = start[k] + at
+                    for s in np.unique(shard[k]).tolist():
+                        mine = shard[k] == s
+                        rows.setdefault(s, []).append(np.stack([text[k][mine], first[mine], first[mine] + match]))
+            out = [(s, bucket, np.stack(_joined(np.concatenate(spans, axis=1))).astype("<i4").tobytes()) for s, spans in sorted(rows.items())]
             yield from shared.batches(out, told, 64)
 
-    n = shared.partitions(answered.sparkSession)
-    rows = _by_shard(answered).mapInArrow(send, "bucket int, shard int, head binary, body binary")
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    parts = shared.partitions(answered.sparkSession)
+    rows = _by_shard(answered).mapInArrow(send, "bucket int, shard int, keys binary, head binary, body binary")
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return shared.written(dealt.mapInArrow(mark, "shard int, bucket int, spans binary"), folder, "marks")
 
 
+def _portions(order: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of `order`, which is sorted by key: whole keys, with INDEX_BYTES at least but for the last."""
+    if not len(order):
+        return
+    total = np.cumsum(size[order])
+    ends = np.concatenate([np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]])
+    a = 0
+    while a < len(order):
+        want = (total[a - 1] if a else 0) + INDEX_BYTES
+        b = int(ends[min(len(ends) - 1, np.searchsorted(total[ends - 1], want))])
+        yield order[a:b]
+        a = b
+
+
 def _joined(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (text, first, end) of one length, with those that overlap or touch joined."""
     order = np.lexsort((spans[1], spans[0]))
