@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch sent to a Python worker; texts may be long, so batches are short.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def session_setup(spark: SparkSession) -> None:
     """Short Arrow batches, so that a worker's memory holds few texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
