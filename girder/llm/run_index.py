@@ -244,7 +244,7 @@ class Anchors:
         left = np.minimum(self.reach, place)
         right = np.minimum(self.match, np.array([x[5] for x in block])[which] - place)
         context = _mix((total[at + right] - total[at - left]) * down[at - left] + (left * 1024 + right).astype(np.uint64) * BASE)
-        return [np.array([x[0] for x in block])[which], place, hashed[at], context, left, right]
+        return [np.array([x[0] for x in block])[which], place, _mix(hashed[at] + BASE), context, left, right]  # mixed again, as lowest hashes are all low
 
     def buckets(self, n: int) -> np.ndarray:
         """Borders of the buckets in `first`: bucket b has first[borders[b]:borders[b + 1]]."""
