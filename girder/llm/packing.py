@@ -116,11 +116,15 @@ def _rows(sequence_id: int, pieces: list[Piece]) -> Iterator[tuple]:
         offset += len(ids) // 4
 
 
-def pack(docs: DataFrame, path: str, folder: str, window: int = WINDOW, n_open: int = OPEN_WINDOWS) -> DataFrame:
-    """One row for each piece. Partitions are packed as they are scanned: texts are not shuffled."""
+def pack(docs: DataFrame, path: str, folder: str, window: int = WINDOW, n_open: int = OPEN_WINDOWS, forget: bool = False) -> DataFrame:
+    """One row for each piece. Partitions are packed as they are scanned: texts are not shuffled.
+
+    With `forget` a worker gives its memory of words back after each task, for sessions that go on to other work.
+    """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part_no, packer = tokens.encoder(path).encode_batch, TaskContext.get().partitionId(), Packer(window, n_open)
+        encoder = tokens.encoder(path)
+        encode, part_no, packer = encoder.encode_batch, TaskContext.get().partitionId(), Packer(window, n_open)
 
         def rows() -> Iterator[tuple]:
             n = 0
@@ -136,6 +140,8 @@ def pack(docs: DataFrame, path: str, folder: str, window: int = WINDOW, n_open:
                 yield doc_id, start, len(ids) // 4, zlib.crc32(ids), total, None, None, part_no, ids
 
         yield from shared.batches(rows(), PIECES)
+        if forget:
+            encoder.forget()
 
     def merge(table: pa.Table) -> pa.Table:
         got = sorted(table.to_pylist(), key=lambda r: (r["tail_of"], r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids"]))

@@ -27,6 +27,9 @@ class Memory:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def turn(self) -> None:
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
@@ -71,6 +74,11 @@ class WordEncoder:
         ids = self.parts.young.__getitem__
         return [b"".join(map(ids, parts)) for parts in cut]
 
+    def forget(self) -> None:
+        """Give memory back, where the worker goes on to other work."""
+        self.parts.clear()
+        self.words.clear()
+
     def _learn(self, new: set[str]) -> None:
         bare, odd = [], []
         for part in new:
