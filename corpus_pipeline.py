@@ -40,7 +40,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document in a sequence."""
     shared.session_setup(spark)
-    return packing.pack(docs, tokens.default_path(), shared.work_dir(spark, "pipeline-packing"))
+    return packing.pack(docs, tokens.default_path(), shared.work_dir(spark, "pipeline-packing"), forget=True)
 
 
 STAGES = [
