@@ -11,8 +11,9 @@ never cross documents and are judged on the input.
    bucket answers whether the context is in an earlier shard (then all of it goes), or only the anchor has
    more contexts (then the context itself is asked for), or neither.
 4. Contexts that were asked for are cut into bands of `BAND` starts each. What all strings of a band share, some 85
-   bytes, is the key by which bands go to buckets; a key met once is dropped there. Over the rest a run-length index is
-   built in the order of the corpus, some keys at a time: a run-compressed Burrows-Wheeler transform with suffix-array samples at run ends and, for each
+   bytes, is the key by which bands go to buckets. There equal bands meet, and the later ones go whole; a key with one
+   band left is dropped. Over the rest a run-length index is built in the order of the corpus, some keys at a
+   time: a run-compressed Burrows-Wheeler transform with suffix-array samples at run ends and, for each
    stretch of rows that agree in `MATCH` bytes, its earliest place. The bands are streamed through it from their
    ends, which gives the match of every place with what lies before it; matches of `MATCH` bytes are marked.
 5. Each shard takes away what was marked.
@@ -358,11 +359,12 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
             for t, p, a, b in zip(found.text[at].tolist(), found.place[at].tolist(), found.left[at].tolist(), found.right[at].tolist(), strict=True):
                 raw = texts[t]
                 for first, low, high in bands(a, b, match, match - gram):
-                    keys.append(xxhash.xxh3_64_intdigest(raw[p - first : p - first + shared_bytes], first))
+                    band = raw[p - high : p - low + match]
+                    keys.append((xxhash.xxh3_64_intdigest(raw[p - first : p - first + shared_bytes], first), xxhash.xxh3_64_intdigest(band)))
                     heads.append((t, p - high, match + high - low))
-                    bodies.append(raw[p - high : p - low + match])
-            keys, heads = np.array(keys, np.uint64), np.array(heads, "<i4").reshape(-1, 3)
-            to = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+                    bodies.append(band)
+            keys, heads = np.array(keys, np.uint64).reshape(-1, 2), np.array(heads, "<i4").reshape(-1, 3)
+            to = ((keys[:, 0] >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
             order = np.argsort(to, kind="stable")
             border = np.searchsorted(to[order], np.arange(n + 1)).tolist()
             groups = ((k, order[border[k] : border[k + 1]]) for k in range(n) if border[k] < border[k + 1])
@@ -371,17 +373,27 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
     def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
             block = block.sort_by("shard")
-            each = [np.frombuffer(x, np.uint64) for x in block.column("keys").to_pylist()]
+            each = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in block.column("keys").to_pylist()]
             shard = np.repeat(block.column("shard").to_numpy(), [len(x) for x in each])
-            key = np.concatenate(each)
+            key, whole = np.concatenate(each).T
             text, start, size = np.frombuffer(b"".join(block.column("head").to_pylist()), "<i4").reshape(-1, 3).T.astype(np.int64)
             body, bucket = b"".join(block.column("body").to_pylist()), block.column("bucket")[0].as_py()
             offset = np.cumsum(size) - size
-            order = np.lexsort((start, text, shard, key))
-            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-            group = np.cumsum(new) - 1
-            order = order[np.bincount(group)[group] > 1]  # a key met once has no equal
+            order = np.lexsort((start, text, shard, whole, key))  # the order of the corpus comes last
+            k, w = key[order], whole[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])
             rows: dict[int, list[np.ndarray]] = {}
+
+            def tell(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
+                for s in np.unique(shard[at]).tolist():
+                    mine = shard[at] == s
+                    rows.setdefault(s, []).append(np.stack([text[at][mine], first[mine], end[mine]]))
+
+            equal, order = order[~new], order[new]
+            tell(equal, start[equal], start[equal] + size[equal])
+            k = key[order]
+            group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+            order = order[np.bincount(group)[group] > 1]  # a key with one band has nothing to match
             for some in _portions(order, key, size):
                 some = some[np.lexsort((start[some], text[some], shard[some]))]  # the order of the corpus
                 of = np.stack([shard[some], text[some]])
@@ -389,11 +401,9 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
                 index = RunIndex([body[offset[k] : offset[k] + size[k]] for k in some], match, (number << 40) + start[some])
                 got = list(index.repeated())
                 if got:
-                    k, at = some[np.concatenate([x for x, _ in got])], np.concatenate([x for _, x in got])
-                    first = start[k] + at
-                    for s in np.unique(shard[k]).tolist():
-                        mine = shard[k] == s
-                        rows.setdefault(s, []).append(np.stack([text[k][mine], first[mine], first[mine] + match]))
+                    at = some[np.concatenate([x for x, _ in got])]
+                    first = start[at] + np.concatenate([x for _, x in got])
+                    tell(at, first, first + match)
             out = [(s, bucket, np.stack(_joined(np.concatenate(spans, axis=1))).astype("<i4").tobytes()) for s, spans in sorted(rows.items())]
             yield from shared.batches(out, told, 64)
 
@@ -418,12 +428,13 @@ def _portions(order: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[
 
 
 def _joined(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (text, first, end) of one length, with those that overlap or touch joined."""
+    """Spans (text, first, end) with those that overlap or touch joined."""
     order = np.lexsort((spans[1], spans[0]))
     t, a, b = spans[:, order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (a[1:] > b[:-1])])
+    far = np.maximum.accumulate((t << 40) + b)  # ends so far; those of earlier texts are smaller
+    new = np.concatenate([[True], (t << 40)[1:] + a[1:] > far[:-1]])
     last = np.concatenate([new[1:], [True]])
-    return t[new], a[new], b[last]
+    return t[new], a[new], far[last] - (t[last] << 40)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
