@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from girder.functions import geometry
@@ -27,16 +25,20 @@ OZM_RATE, GLUE_RATE, ANCHOR_RATE = 1.25, 1.2, 7.0
 BASES = sorted({r[0] for r in T500})
 
 
-def thickness(dpr, required):
-    """The thinnest plate that lasts the required minutes, and the minutes of the thickest; no join, as the table is fixed."""
-    base = lookup.floor_of(dpr, BASES)
-    plates = F.lit(None)
-    for b in BASES:
-        rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(m).alias("m"), F.lit(t).alias("t")) for base_, a, m, t in T500 if base_ == b and t != NOT_SOLD))
-        plates = rows if b == BASES[0] else F.when(base == b, rows).otherwise(plates)
-    lasts = lambda p: F.round(p["a"] * (dpr - base) + p["m"])
-    enough = F.transform(F.filter(plates, lambda p: lasts(p) >= required), lambda p: p["t"])
-    return F.when(F.size(enough) > 0, F.array_min(enough)), lasts(F.element_at(plates, -1))
+def with_thickness(rows, dpr: str, required: str):
+    """Adds `delta`, the thinnest plate that lasts the required minutes, and `minutes`, what the thickest lasts.
+
+    The table is one row of plates for each base, six in all, and is broadcast; no row fans out.
+    """
+    plates = {}
+    for base, slope, minutes, plate in T500:
+        if plate != NOT_SOLD:
+            plates.setdefault(base, []).append((slope, minutes, plate))
+    table = rows.sparkSession.createDataFrame(list(plates.items()), "base double, plates array<struct<a: double, m: double, t: double>>")
+    got = rows.withColumn("base", lookup.floor_of(F.col(dpr), BASES)).join(F.broadcast(table), "base")
+    lasts = lambda p: F.round(p["a"] * (F.col(dpr) - F.col("base")) + p["m"])
+    enough = F.filter("plates", lambda p: lasts(p) >= F.col(required))
+    return got.withColumn("delta", F.array_min(F.transform(enough, lambda p: p["t"]))).withColumn("minutes", lasts(F.element_at("plates", -1))).drop("base", "plates")
 
 
 _ELEMENTS = """
@@ -74,8 +76,7 @@ FROM w GROUP BY p_brand""")
 def q_bom_ozm(t):
     """Flagship: geometry, as-of thickness, material lines and their totals by group. One broadcast-size join, one shuffle."""
     c, on = F.col, geometry.sides(F.lit(True), F.lit(True), F.lit(True), F.lit(True))
-    rows = elements(t)
-    rows = rows.withColumn("delta", thickness(c("dpr"), c("req"))[0])
+    rows = with_thickness(elements(t), "dpr", "req")
     sv, sm = geometry.cladding(c("h"), c("b"), c("t"), c("delta"), c("len"), on)
     lines = rows.select("p_brand", "delta", scaled(sv * (c("delta") / 1000) * OZM_RATE, 3).alias("ozm"), scaled(sm * GLUE_RATE, 3).alias("glue"), scaled(sm * ANCHOR_RATE, 3).alias("anchors"))
     total = lambda x: F.coalesce(F.sum(c(x).cast("decimal(18,3)")), F.lit(0)).cast("double").alias(x)
@@ -199,5 +200,3 @@ def q_modal_gap(t):
     spread = gaps.groupBy("user_id").agg(scaled(F.stddev_pop("gap") / F.avg("gap"), 6).alias("cv"))
     return modal.join(spread, "user_id").select("user_id", (-F.col("m.g")).alias("pitch"), F.col("m.n").alias("hits"), "cv")
 
-
-assert math.isclose(BASES[-1], 14.0)
