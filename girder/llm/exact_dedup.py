@@ -78,8 +78,7 @@ def groups(docs: DataFrame, folder: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, folder: str) -> DataFrame:
     """The rows of `docs` that stay, with all their columns. `docs` must be a plain scan of files."""
-    kept = groups(docs, folder).where("kept").select("_row")
-    return shared.with_row_address(docs, "_row").join(kept, "_row", "left_semi").drop("_row")
+    return shared.rows_kept(docs, groups(docs, folder).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,9 +165,8 @@ def known_language(docs: DataFrame) -> DataFrame:
     Texts that are null or without a letter are rejected. Predictions are joined by the place of the row in
     the scan, as doc_id need not be unique; `docs` must be a plain scan of files.
     """
-    rows = shared.with_row_address(docs, "_row")
-    found = predict(rows).where(F.col("lang_pred") != UNKNOWN)
-    return rows.join(found.select("_row"), "_row", "left_semi").drop("_row")
+    rows = shared.with_row_address(docs.select("doc_id", "text", "lang"), "_row")
+    return shared.rows_kept(docs, predict(rows).where(F.col("lang_pred") != UNKNOWN))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

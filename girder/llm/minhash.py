@@ -305,8 +305,7 @@ def near_groups(docs: DataFrame, folder: str, width: int = 5, near: int = NEAR)
 
 def deduplicated(docs: DataFrame, folder: str, width: int = 5) -> DataFrame:
     """The rows of `docs` that stay, one of each component, with all their columns. `docs` must be a plain scan of files."""
-    kept = near_groups(docs, folder, width).where("kept").select("_row")
-    return shared.with_row_address(docs, "_row").join(kept, "_row", "left_semi").drop("_row")
+    return shared.rows_kept(docs, near_groups(docs, folder, width).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

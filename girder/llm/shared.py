@@ -79,6 +79,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose address is in `kept` (_row), with all their columns, whatever their names."""
+    name = "_row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return with_row_address(docs, name).join(kept.select(F.col("_row").alias(name)), name, "left_semi").select(*docs.columns)
+
+
 def with_row_address(df: DataFrame, name: str = "_row") -> DataFrame:
     """Number rows by scan partition and place; the same for each scan of the same files."""
     return df.withColumn(name, F.monotonically_increasing_id())
