@@ -380,6 +380,9 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
             body, bucket = b"".join(block.column("body").to_pylist()), block.column("bucket")[0].as_py()
             offset = np.cumsum(size) - size
             order = np.lexsort((start, text, shard, whole, key))  # the order of the corpus comes last
+            rank = np.stack([key, whole, start.view(np.uint64), text.view(np.uint64), shard.astype(np.uint64)])[:, order]
+            other = np.concatenate([[True], (rank[:, 1:] != rank[:, :-1]).any(axis=0)])
+            order = order[other]  # anchors of equal hash may send one band more than once
             k, w = key[order], whole[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])
             rows: dict[int, list[np.ndarray]] = {}
