@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 
 def floor_of(x: Column, breaks: Sequence[float]) -> Column:
-    """The greatest of some fixed breaks that is not above x, else the smallest; no join."""
-    known = F.array(*(F.lit(float(b)) for b in sorted(breaks)))
-    below = F.filter(known, lambda b: b <= x)
-    return F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.lit(float(min(breaks))))
+    """The greatest of some fixed breaks that is not above x, else the smallest; no join, and it stays in generated code."""
+    out = F.lit(float(min(breaks)))
+    for b in sorted(breaks)[1:]:
+        out = F.when(x >= b, float(b)).otherwise(out)
+    return out
 
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, order: Sequence[str], value: Sequence[str]) -> DataFrame:

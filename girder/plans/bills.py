@@ -25,20 +25,26 @@ OZM_RATE, GLUE_RATE, ANCHOR_RATE = 1.25, 1.2, 7.0
 BASES = sorted({r[0] for r in T500})
 
 
+PLATES = sorted({r[3] for r in T500} - {NOT_SOLD})
+
+
 def with_thickness(rows, dpr: str, required: str):
     """Adds `delta`, the thinnest plate that lasts the required minutes, and `minutes`, what the thickest lasts.
 
-    The table is one row of plates for each base, six in all, and is broadcast; no row fans out.
+    The table has one row for each base, six in all, with a slope and an offset for each plate. It is broadcast, no row
+    fans out, and all is generated code.
     """
-    plates = {}
-    for base, slope, minutes, plate in T500:
-        if plate != NOT_SOLD:
-            plates.setdefault(base, []).append((slope, minutes, plate))
-    table = rows.sparkSession.createDataFrame(list(plates.items()), "base double, plates array<struct<a: double, m: double, t: double>>")
-    got = rows.withColumn("base", lookup.floor_of(F.col(dpr), BASES)).join(F.broadcast(table), "base")
-    lasts = lambda p: F.round(p["a"] * (F.col(dpr) - F.col("base")) + p["m"])
-    enough = F.filter("plates", lambda p: lasts(p) >= F.col(required))
-    return got.withColumn("delta", F.array_min(F.transform(enough, lambda p: p["t"]))).withColumn("minutes", lasts(F.element_at("plates", -1))).drop("base", "plates")
+    known = {(base, plate): (slope, minutes) for base, slope, minutes, plate in T500}
+    wide = [(base, *(x for plate in PLATES for x in known[base, plate])) for base in BASES]
+    ddl = ", ".join(["base double", *(f"_{x}{plate:.0f} double" for plate in PLATES for x in "am")])
+    table = F.broadcast(rows.sparkSession.createDataFrame(wide, ddl))
+    got = rows.withColumn("base", lookup.floor_of(F.col(dpr), BASES)).join(table, "base")
+    lasts = lambda plate: F.round(F.col(f"_a{plate:.0f}") * (F.col(dpr) - F.col("base")) + F.col(f"_m{plate:.0f}"))
+    delta = F.lit(None).cast("double")
+    for plate in reversed(PLATES):
+        delta = F.when(lasts(plate) >= F.col(required), plate).otherwise(delta)
+    extra = [f"_{x}{plate:.0f}" for plate in PLATES for x in "am"]
+    return got.withColumn("delta", delta).withColumn("minutes", lasts(PLATES[-1])).drop("base", *extra)
 
 
 _ELEMENTS = """
