@@ -10,7 +10,7 @@ import numpy as np
 END_ID = 2
 END = np.uint32(END_ID).tobytes()
 #: Parts of texts, and bare words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 400_000
+PARTS, WORDS = 700_000, 400_000
 #: Signs that may end a part; with letters alone before them, the vocabulary always cuts there.
 SIGNS = ".,;:!?|%$&*#"
 
@@ -60,7 +60,7 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
-        self.parts, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.parts, self.words = Memory(PARTS), Memory(WORDS)
         self.signs: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str | None) -> bytes:
@@ -80,22 +80,21 @@ class WordEncoder:
         self.words.clear()
 
     def _learn(self, new: set[str]) -> None:
-        bare, odd = [], []
-        for part in new:
-            word = part.rstrip(SIGNS)
-            if word.isalpha():
-                bare.append((part, word.lower() if word.isascii() else word, part[len(word) :]))
-            else:
-                odd.append(part)
+        parts = list(new)
+        bare = [p.rstrip(SIGNS) for p in parts]
+        kind = list(map(str.isalpha, bare))
+        odd = [p for p, k in zip(parts, kind, strict=True) if not k]
+        words = [w.lower() if w.isascii() else w for w, k in zip(bare, kind, strict=True) if k]
+        parts = [p for p, k in zip(parts, kind, strict=True) if k]
         self.words.turn()
-        if words := list(self.words.missing({w for _, w, _ in bare})):
-            self.words.young.update(zip(words, self._bare(words), strict=True))
-        if signs := list({s for _, _, s in bare}.difference(self.signs)):
+        if fresh := list(self.words.missing(set(words))):
+            self.words.young.update(zip(fresh, self._bare(fresh), strict=True))
+        ids = list(map(self.words.young.__getitem__, words))
+        tails = [p[len(w) :] for p, w in zip(parts, words, strict=True)]
+        if signs := list(set(tails).difference(self.signs)):
             self.signs.update(zip(signs, self._each(signs), strict=True))
-        young, signs, parts = self.words.young, self.signs, self.parts.young
-        for part, word, tail in bare:
-            parts[part] = young[word] + signs[tail] if tail else young[word]
-        parts.update(zip(odd, self._each(odd), strict=True))
+        self.parts.young.update(zip(parts, map(bytes.__add__, ids, map(self.signs.__getitem__, tails)), strict=True))
+        self.parts.young.update(zip(odd, self._each(odd), strict=True))
 
     def _each(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
