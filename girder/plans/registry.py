@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bills, catalogs, lookups, ordering  # noqa: F401  each registers its queries
+from . import audits, bills, catalogs, lookups, ordering  # noqa: F401  each registers its queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
