@@ -20,7 +20,7 @@ T500 = (
     (14.0, 18.25, 256.0, 20.0), (14.0, 19.61, 284.0, 30.0), (14.0, 20.0, 308.0, 40.0), (14.0, 20.57, 325.0, 50.0), (14.0, 20.57, 337.0, 60.0), (14.0, 20.57, 350.0, 70.0), (14.0, 23.84, 398.0, 80.0), (14.0, 27.14, 448.0, 90.0),
 )
 NOT_SOLD = 20.0  # this thickness has data but is not offered
-OZM_RATE, GLUE_RATE, ANCHOR_RATE = 1.25, 1.2, 7.0
+PLATE_RATE, GLUE_RATE, ANCHOR_RATE = 1.25, 1.2, 7.0
 
 BASES = sorted({r[0] for r in T500})
 
@@ -73,20 +73,20 @@ q AS (SELECT f.p_brand, f.l_orderkey, f.l_linenumber, f.len, f.h, f.b, f.t,
              min(CASE WHEN round(a * (f.dpr - f.base) + m) >= f.req THEN thick END) AS delta
       FROM f JOIN t500 ON t500.base = f.base AND thick <> 20 GROUP BY ALL),
 v AS (SELECT *, (2 * h + 2 * b + 4 * delta) / 1000 * len AS sm FROM q),
-w AS (SELECT *, round((sm + (2 * (h - 2 * t) / 1000) * 0.1 * (len / 0.6)) * (delta / 1000) * 1.25 * 1000.0) / 1000.0 AS ozm,
+w AS (SELECT *, round((sm + (2 * (h - 2 * t) / 1000) * 0.1 * (len / 0.6)) * (delta / 1000) * 1.25 * 1000.0) / 1000.0 AS plates,
              round(sm * 1.2 * 1000.0) / 1000.0 AS glue, round(sm * 7.0 * 1000.0) / 1000.0 AS anchors FROM v)
 SELECT p_brand, count(*) AS n_elements, CAST(count(*) FILTER (WHERE delta IS NULL) AS BIGINT) AS n_excluded,
-       CAST(coalesce(sum(CAST(ozm AS DECIMAL(18,3))), 0) AS DOUBLE) AS ozm, CAST(coalesce(sum(CAST(glue AS DECIMAL(18,3))), 0) AS DOUBLE) AS glue,
+       CAST(coalesce(sum(CAST(plates AS DECIMAL(18,3))), 0) AS DOUBLE) AS plates, CAST(coalesce(sum(CAST(glue AS DECIMAL(18,3))), 0) AS DOUBLE) AS glue,
        CAST(coalesce(sum(CAST(anchors AS DECIMAL(18,3))), 0) AS DOUBLE) AS anchors
 FROM w GROUP BY p_brand""")
-def q_bom_ozm(t):
+def q_bom_plates(t):
     """Flagship: geometry, as-of thickness, material lines and their totals by group. One broadcast-size join, one shuffle."""
     c, on = F.col, geometry.sides(F.lit(True), F.lit(True), F.lit(True), F.lit(True))
     rows = with_thickness(elements(t), "dpr", "req")
     sv, sm = geometry.cladding(c("h"), c("b"), c("t"), c("delta"), c("len"), on)
-    lines = rows.select("p_brand", "delta", scaled(sv * (c("delta") / 1000) * OZM_RATE, 3).alias("ozm"), scaled(sm * GLUE_RATE, 3).alias("glue"), scaled(sm * ANCHOR_RATE, 3).alias("anchors"))
+    lines = rows.select("p_brand", "delta", scaled(sv * (c("delta") / 1000) * PLATE_RATE, 3).alias("plates"), scaled(sm * GLUE_RATE, 3).alias("glue"), scaled(sm * ANCHOR_RATE, 3).alias("anchors"))
     total = lambda x: F.coalesce(F.sum(c(x).cast("decimal(18,3)")), F.lit(0)).cast("double").alias(x)
-    return lines.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_elements"), F.count_if(c("delta").isNull()).alias("n_excluded"), total("ozm"), total("glue"), total("anchors"))
+    return lines.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_elements"), F.count_if(c("delta").isNull()).alias("n_excluded"), total("plates"), total("glue"), total("anchors"))
 
 
 @query(f"WITH {_ELEMENTS} SELECT l_orderkey, l_linenumber, round(area * 100.0) / 100.0 AS area, round(per * 100.0) / 100.0 AS per, dpr FROM d")
