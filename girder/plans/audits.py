@@ -39,12 +39,12 @@ def q_sheet_mass(t):
 
 
 @query("""
-WITH k AS (SELECT p_brand, max(CAST(split_part(p_name, ' ', 1) = 'red' AS INT)) AS x, count(DISTINCT p_type) AS n, min(p_type) AS hint FROM part WHERE p_size % 10 = 0 GROUP BY 1)
-SELECT p_brand, CASE WHEN n = 1 THEN hint END AS hint, n FROM k""")
+WITH k AS (SELECT p_brand, p_size, count(DISTINCT p_type) AS n, min(p_type) AS hint FROM part GROUP BY 1, 2)
+SELECT p_brand, p_size, CASE WHEN n = 1 THEN hint END AS hint, n FROM k""")
 def q_unique_hint(t):
     """A hint counts only if all rows give the same."""
-    by = t.part.where("p_size % 10 = 0").groupBy("p_brand").agg(F.collect_set("p_type").alias("s"))
-    return by.select("p_brand", F.when(F.size("s") == 1, F.element_at("s", 1)).alias("hint"), F.size("s").cast("bigint").alias("n"))
+    by = t.part.groupBy("p_brand", "p_size").agg(F.collect_set("p_type").alias("s"))  # as many as there are types at most
+    return by.select("p_brand", "p_size", F.when(F.size("s") == 1, F.element_at("s", 1)).alias("hint"), F.size("s").cast("bigint").alias("n"))
 
 
 @query("""
@@ -75,27 +75,27 @@ def q_next_free(t):
 
 @query("""
 WITH g AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS gap FROM events)
-SELECT user_id, event_id, CAST(event_id + k * 100 AS BIGINT) AS point FROM g, range(10) r(k) WHERE k < greatest(1, least(10, coalesce(floor((gap + 50) / 100), 1)))""")
+SELECT user_id, event_id, CAST(event_id + k * 100 AS BIGINT) AS point FROM g, range((SELECT CAST(max(event_id) / 100 + 2 AS BIGINT) FROM events)) r(k) WHERE k < greatest(1, coalesce(floor((gap + 50) / 100), 1))""")
 def q_regular_pitch(t):
     """Points put in where a gap is about a multiple of the pitch."""
     gap = F.lead("event_id").over(W.partitionBy("user_id").orderBy("event_id")) - F.col("event_id")
-    times = F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(F.floor((gap + 50) / 100), F.lit(1))))
+    times = F.greatest(F.lit(1), F.coalesce(F.floor((gap + 50) / 100), F.lit(1)))
     rows = t.events.select("user_id", "event_id", times.alias("n"))
     return rows.select("user_id", "event_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select("user_id", "event_id", (F.col("event_id") + F.col("k") * 100).alias("point"))
 
 
 @query("""
-WITH cat AS (SELECT p_partkey, p_brand, p_type, p_size, p_retailprice AS mass FROM part WHERE p_partkey % 2 = 0),
+WITH cat AS (SELECT p_partkey, p_brand, p_type, p_size, p_retailprice AS mass FROM part WHERE p_type <> 'ECONOMY'),
 own AS (SELECT p_brand, p_type, p_size, count(DISTINCT mass) AS n, min(mass) AS mass FROM cat GROUP BY 1, 2, 3),
 fam AS (SELECT p_brand, p_size, count(DISTINCT mass) AS n, min(mass) AS mass FROM cat GROUP BY 1, 2)
 SELECT p.p_partkey, CASE WHEN own.n = 1 THEN own.mass WHEN own.n IS NULL AND fam.n = 1 THEN fam.mass END AS mass,
   CASE WHEN own.n = 1 THEN 'own' WHEN own.n IS NULL AND fam.n = 1 THEN 'family' WHEN own.n > 1 OR fam.n > 1 THEN 'ambiguous' ELSE 'none' END AS stage
-FROM part p LEFT JOIN own ON own.p_brand = p.p_brand AND own.p_type = p.p_type AND own.p_size = p.p_size LEFT JOIN fam ON fam.p_brand = p.p_brand AND fam.p_size = p.p_size WHERE p.p_partkey % 2 = 1""")
+FROM part p LEFT JOIN own ON own.p_brand = p.p_brand AND own.p_type = p.p_type AND own.p_size = p.p_size LEFT JOIN fam ON fam.p_brand = p.p_brand AND fam.p_size = p.p_size""")
 def q_staged_standard(t):
     """By the row's own standard; without it by the family; several masses are none."""
-    known = t.part.where("p_partkey % 2 = 0")
+    known = t.part.where("p_type <> 'ECONOMY'")
     masses = lambda keys, k: known.groupBy(*keys).agg((F.min("p_retailprice") == F.max("p_retailprice")).alias(f"one{k}"), F.min("p_retailprice").alias(f"m{k}"))
-    rows = t.part.where("p_partkey % 2 = 1").select("p_partkey", "p_brand", "p_type", "p_size")
+    rows = t.part.select("p_partkey", "p_brand", "p_type", "p_size")
     rows = rows.join(masses(["p_brand", "p_type", "p_size"], 1), ["p_brand", "p_type", "p_size"], "left").join(masses(["p_brand", "p_size"], 2), ["p_brand", "p_size"], "left")
     own, family = F.col("one1"), F.col("one1").isNull() & F.col("one2")
     stage = F.when(own, "own").when(family, "family").when(F.col("one1").isNotNull() | F.col("one2").isNotNull(), "ambiguous").otherwise("none")

@@ -24,38 +24,40 @@ def q_priority_dedup(t):
 
 
 @query("""
-WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment AS source, c_custkey AS ord FROM customer WHERE c_custkey % 3 <> 0),
-n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN 'NEW' ELSE c_mktsegment END AS source, c_custkey AS ord FROM customer WHERE c_custkey % 2 = 0)
+WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment AS source, c_custkey AS ord FROM customer),
+n AS (SELECT s_suppkey * 20 AS c_custkey, s_acctbal AS c_acctbal, CASE WHEN s_nationkey < 12 THEN 'BUILDING' ELSE 'FURNITURE' END AS source, s_suppkey AS ord FROM supplier)
 SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.source IS NULL OR o.source = n.source THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal,
   CASE WHEN o.source IS NULL OR o.source = n.source THEN n.source ELSE o.source END AS source, CASE WHEN o.source IS NULL THEN 'inserted' WHEN o.source = n.source THEN 'updated' ELSE 'kept' END AS state,
   (o.source IS NULL)::INT AS block, coalesce(o.ord, n.ord) AS ord FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
 def q_keyed_merge(t):
-    old = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("ord"))
-    new = t.customer.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 4 == 0, "NEW").otherwise(F.col("c_mktsegment")).alias("source"), F.col("c_custkey").alias("ord"))
+    old = t.customer.select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("ord"))
+    source = F.when(F.col("s_nationkey") < 12, "BUILDING").otherwise("FURNITURE")
+    new = t.supplier.select((F.col("s_suppkey") * 20).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"), source.alias("source"), F.col("s_suppkey").alias("ord"))
     return merge.keyed_merge(old, new, ["c_custkey"], ["c_acctbal"], "source", "ord")
 
 
 @query("""
-SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer""")
+SELECT c_custkey, c_name, coalesce(s_acctbal, c_acctbal) AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
 def q_patch(t):
     """Optional fields of a patch over its base."""
-    patch = t.customer.where("c_custkey % 5 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") * 2).alias("c_acctbal"))
+    patch = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
     return merge.patched(t.customer.select("c_custkey", "c_name", "c_acctbal"), patch, "c_custkey", ["c_name", "c_acctbal"])
 
 
 @query("""
-SELECT s_suppkey AS k, 'top' AS layer FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL
-SELECT c_custkey, 'under' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)""")
+SELECT s_suppkey AS k, 'top' AS layer FROM supplier UNION ALL
+SELECT c_custkey, 'under' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def q_shadow_union(t):
-    top = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.lit("top").alias("layer"))
+    top = t.supplier.select(F.col("s_suppkey").alias("k"), F.lit("top").alias("layer"))
     return merge.shadowed(top, t.customer.select(F.col("c_custkey").alias("k"), F.lit("under").alias("layer")), "k")
 
 
 @query("""
-SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 1""")
+SELECT c_nationkey, c_mktsegment FROM customer EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal >= 3000""")
 def q_set_difference(t):
-    rows = t.customer.select("c_nationkey", "c_mktsegment", "c_custkey")
-    return rows.where("c_custkey % 2 = 0").drop("c_custkey").subtract(rows.where("c_custkey % 2 = 1").drop("c_custkey"))
+    """Keys that a version of the catalog without its poorest rows has lost."""
+    keys = ["c_nationkey", "c_mktsegment"]
+    return t.customer.select(*keys).subtract(t.customer.where("c_acctbal >= 3000").select(*keys))
 
 
 @query("""
@@ -282,10 +284,10 @@ def q_fuzzy_canon(t):
 # ---- components
 @query("""
 WITH RECURSIVE up AS (SELECT c_custkey AS node, c_custkey AS here FROM customer UNION ALL
-  SELECT node, CAST(floor(here / 2) AS BIGINT) FROM up JOIN customer ON c_custkey = here WHERE c_nationkey % 2 = 0 AND here > 0)
+  SELECT node, CAST(floor(here / 2) AS BIGINT) FROM up JOIN customer ON c_custkey = here WHERE c_acctbal >= 2000 AND here > 0)
 SELECT node AS c_custkey, min(here) AS component FROM up GROUP BY 1""")
 def q_components(t):
-    edges = t.customer.where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 2).alias("b"))
+    edges = t.customer.where("c_acctbal >= 2000").select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 2).alias("b"))
     return graph.components(t.customer.select("c_custkey"), edges, "c_custkey")
 
 

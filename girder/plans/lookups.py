@@ -51,12 +51,12 @@ def q_nested_asof(t):
 
 @query("""
 WITH own AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
-nat AS (SELECT c_nationkey, max(c_acctbal) AS v FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 4 <> 0 GROUP BY 1)
+nat AS (SELECT c_nationkey, max(c_acctbal) AS v FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000 GROUP BY 1)
 SELECT c_custkey, coalesce(own.v, nat.v, 0.0) AS value, CASE WHEN own.v IS NOT NULL THEN 'own' WHEN nat.v IS NOT NULL THEN 'nation' ELSE 'default' END AS source
 FROM customer c LEFT JOIN own ON o_custkey = c_custkey LEFT JOIN nat ON nat.c_nationkey = c.c_nationkey""")
 def q_layered_lookup(t):
     own = t.orders.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.max("o_totalprice").alias("v"))
-    nation = t.customer.where("c_mktsegment = 'BUILDING' and c_nationkey % 4 <> 0").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("v")).withColumnRenamed("c_nationkey", "nk")
+    nation = t.customer.where("c_mktsegment = 'BUILDING' and c_acctbal > 5000").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("v")).withColumnRenamed("c_nationkey", "nk")
     base = t.customer.select("c_custkey", F.col("c_custkey").alias("o_custkey_"), F.col("c_nationkey").alias("nk"))
     layers = [("own", own.withColumnRenamed("o_custkey", "o_custkey_"), "o_custkey_", "v"), ("nation", nation, "nk", "v")]
     return lookup.layered(base, layers, F.lit(0.0)).select("c_custkey", "value", "source")
@@ -82,15 +82,15 @@ def q_unambiguous_key(t):
 
 
 @query("""
-WITH b AS (SELECT p_partkey, unnest([p_brand || '/' || p_size, p_name]) AS alias FROM part WHERE p_partkey % 10 = 0),
+WITH b AS (SELECT p_partkey, unnest([p_brand || '/' || p_size, p_name]) AS alias FROM part),
 k AS (SELECT alias, min(p_partkey) AS hit FROM b GROUP BY 1),
-p AS (SELECT p_partkey, unnest([p_brand || '/' || p_size, p_name || '?', p_name]) AS alias, unnest([0, 1, 2]) AS ord FROM part WHERE p_partkey % 10 = 1),
+p AS (SELECT p_partkey, unnest([p_brand || '/' || (p_size + 1), p_name || '?', p_name]) AS alias, unnest([0, 1, 2]) AS ord FROM part),
 h AS (SELECT p_partkey, hit, row_number() OVER (PARTITION BY p_partkey ORDER BY hit IS NULL, ord) AS n FROM p LEFT JOIN k USING (alias))
 SELECT p_partkey, hit FROM h WHERE n = 1""")
 def q_alias_join(t):
     size = F.col("p_size").cast("string")
-    build = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("b_key"), F.array(F.concat("p_brand", F.lit("/"), size), "p_name").alias("aliases"))
-    probe = t.part.where("p_partkey % 10 = 1").select("p_partkey", F.array(F.concat("p_brand", F.lit("/"), size), F.concat("p_name", F.lit("?")), F.col("p_name")).alias("aliases"))
+    build = t.part.select(F.col("p_partkey").alias("b_key"), F.array(F.concat("p_brand", F.lit("/"), size), "p_name").alias("aliases"))
+    probe = t.part.select("p_partkey", F.array(F.concat("p_brand", F.lit("/"), (F.col("p_size") + 1).cast("string")), F.concat("p_name", F.lit("?")), F.col("p_name")).alias("aliases"))
     return lookup.alias_match(probe, build, "p_partkey", "b_key")
 
 
@@ -102,14 +102,14 @@ def q_ambiguous_null(t):
 
 
 @query("""
-WITH cat AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 0),
-c AS (SELECT p_partkey, p_brand, unnest([p_size, p_size + 1, p_size - 1]) AS size FROM part WHERE p_partkey % 3 = 1),
+WITH cat AS (SELECT DISTINCT p_brand, p_size FROM part),
+c AS (SELECT p_partkey, p_brand, unnest([p_size + 1, p_size - 1, p_size + 40]) AS size FROM part),
 h AS (SELECT p_partkey, count(*) AS n, min(size) AS size FROM c JOIN cat ON cat.p_brand = c.p_brand AND cat.p_size = c.size GROUP BY 1)
-SELECT p.p_partkey, CASE WHEN n = 1 THEN size END AS size, coalesce(n, 0) AS hits FROM part p LEFT JOIN h ON h.p_partkey = p.p_partkey WHERE p.p_partkey % 3 = 1""")
+SELECT p.p_partkey, CASE WHEN n = 1 THEN size END AS size, coalesce(n, 0) AS hits FROM part p LEFT JOIN h ON h.p_partkey = p.p_partkey""")
 def q_candidate_unique(t):
     """Of some candidate spellings the one that the catalog has, if it has one only."""
-    known = t.part.where("p_partkey % 3 = 0").select("p_brand", F.col("p_size").alias("size")).distinct()
-    asked = t.part.where("p_partkey % 3 = 1").select("p_partkey", "p_brand", F.explode(F.array(F.col("p_size"), F.col("p_size") + 1, F.col("p_size") - 1)).alias("size"))
+    known = t.part.select("p_brand", F.col("p_size").alias("size")).distinct()
+    asked = t.part.select("p_partkey", "p_brand", F.explode(F.array(F.col("p_size") + 1, F.col("p_size") - 1, F.col("p_size") + 40)).alias("size"))
     got = asked.join(known.withColumn("known", F.col("size")), ["p_brand", "size"], "left").groupBy("p_partkey").agg(F.count("known").alias("hits"), F.min("known").alias("s"))
     return got.select("p_partkey", F.when(F.col("hits") == 1, F.col("s")).alias("size"), "hits")
 
@@ -146,12 +146,12 @@ def q_zip_ordinal(t):
 
 
 @query("""
-WITH g AS (SELECT o_custkey % 50 AS grp, unnest([o_orderkey, o_orderkey + 1]) AS row_id, unnest([0, 1]) AS pos, o_orderkey FROM orders WHERE o_orderkey % 3 = 0),
+WITH g AS (SELECT o_custkey % 50 AS grp, unnest([o_orderkey + 2, o_orderkey + 1]) AS row_id, unnest([0, 1]) AS pos, o_orderkey FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY grp, o_orderkey, pos) AS n FROM g)
 SELECT o.o_orderkey, k.grp FROM orders o LEFT JOIN k ON k.row_id = o.o_orderkey AND n = 1""")
 def q_first_claim(t):
     """A row belongs to the first group that lists it; rows that no group lists come with none."""
-    groups = t.orders.where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 50).alias("grp"), "o_orderkey", F.array(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("ids"))
+    groups = t.orders.select((F.col("o_custkey") % 50).alias("grp"), "o_orderkey", F.array(F.col("o_orderkey") + 2, F.col("o_orderkey") + 1).alias("ids"))
     listed = groups.select("grp", F.col("o_orderkey").alias("at"), F.posexplode("ids").alias("pos", "o_orderkey"))
     claimed = listed.groupBy("o_orderkey").agg(F.min(F.struct("grp", "at", "pos"))["grp"].alias("grp"))
     return t.orders.select("o_orderkey").join(claimed, "o_orderkey", "left")
@@ -166,13 +166,13 @@ def q_range_overlap(t):
 
 
 @query("""
-WITH cat AS (SELECT p_partkey AS ord, 'id' || (p_partkey * 2) AS id, p_brand, p_size FROM part WHERE p_partkey % 7 = 0)
-SELECT p_partkey, (SELECT min(ord) FROM cat WHERE cat.id = 'id' || p.p_partkey OR (cat.p_brand = p.p_brand AND cat.p_size = p.p_size)) AS hit FROM part p""")
+WITH cat AS (SELECT p_partkey AS ord, 'id' || (p_partkey * 2) AS id, p_brand, p_size FROM part)
+SELECT p_partkey, (SELECT min(ord) FROM cat WHERE cat.id = 'id' || p.p_partkey OR (cat.p_brand = p.p_brand AND cat.p_size = p.p_size + 1)) AS hit FROM part p""")
 def q_or_lookup(t):
     """By id, or by shape and label, the first in catalog order: two equal joins in place of one with OR."""
-    cat = t.part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("id"), (F.col("p_partkey") * 2).cast("string")).alias("id"), "p_brand", "p_size")
+    cat = t.part.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("id"), (F.col("p_partkey") * 2).cast("string")).alias("id"), "p_brand", "p_size")
     by_id, by_label = cat.groupBy("id").agg(F.min("ord").alias("o1")), cat.groupBy("p_brand", "p_size").agg(F.min("ord").alias("o2"))
-    rows = t.part.select("p_partkey", "p_brand", "p_size", F.concat(F.lit("id"), F.col("p_partkey").cast("string")).alias("id"))
+    rows = t.part.select("p_partkey", "p_brand", (F.col("p_size") + 1).alias("p_size"), F.concat(F.lit("id"), F.col("p_partkey").cast("string")).alias("id"))
     return rows.join(by_id, "id", "left").join(by_label, ["p_brand", "p_size"], "left").select("p_partkey", F.least("o1", "o2").alias("hit"))
 
 
