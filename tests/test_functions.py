@@ -103,3 +103,32 @@ def test_streaming_share_is_the_batch_share(spark, tmp_path):
     streamed = {(r["start"], r["n"], r["flagged"]) for r in spark.table("shares").collect()}
     batch = {(r["start"], r["n"], r["flagged"]) for r in rates.share(events, flag).collect()}
     assert streamed and streamed <= batch
+
+
+def test_marks_lose_what_is_printed_around_them(spark):
+    from girder.functions import marks
+
+    given = {
+        "12х4": ("12х4", "12Х4"), "Гн. 25-26-2": ("25-26-2", "25-26-2"), "1 50Ш4": ("50Ш4", "50Ш4"), "L 100х8": ("100х8", "100Х8"),
+        "40Б2 (214-202-0103-0002)": ("40Б2", "40Б2"), "25Б1 т": ("25Б1", "25Б1"), "лист т": ("лист т", "ЛИСТТ"), "25ШО": ("25ШО", "25Ш0"), "30B1": ("30B1", "30Б1"), "": ("", ""), None: ("", ""),
+    }
+    df = spark.createDataFrame([(k,) for k in given], "raw string")
+    got = {r.raw: (r.mark, r.key) for r in df.select("raw", marks.cleaned_mark(F.col("raw")).alias("mark"), marks.book_key(F.col("raw")).alias("key")).collect()}
+    assert got == given
+
+
+def test_letters_beside_digits_are_digits(spark):
+    from girder.functions import marks
+
+    given = {"СЗ45-5": "С345-5", "6З": "63", "ГОСТ": "ГОСТ", "16П": "16П", "OЗ5": "O35", "5ЗО": "530", "": "", "З О": "З О"}
+    df = spark.createDataFrame([(k,) for k in given], "raw string")
+    assert {r[0]: r[1] for r in df.select("raw", marks.digits_in_context(F.col("raw"))).collect()} == given
+
+
+def test_cells_merge_to_rectangles_only(spark):
+    from girder.operators import grids
+
+    nodes = spark.createDataFrame([(1, r, c, r * 2 + c) for r in range(2) for c in range(2)] + [(2, r, c, 4 + r * 2 + c) for r in range(2) for c in range(2)], "page int, r int, c int, node int")
+    sides = spark.createDataFrame([(0, 1), (4, 5), (4, 6)], "a int, b int")
+    got = sorted(tuple(r) for r in grids.merged_cells(nodes, sides, ["page"], "node").collect())
+    assert got == [(1, 0, 0, 1, 2), (1, 1, 0, 1, 1), (1, 1, 1, 1, 1), (2, 0, 0, 1, 1), (2, 0, 1, 1, 1), (2, 1, 0, 1, 1), (2, 1, 1, 1, 1)]
