@@ -493,3 +493,20 @@ def without_repeats(docs: DataFrame, folder: str, match: int = MATCH, gram: int
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.session_setup(spark)
     return without_repeats(shared.documents(spark, sf_dir), shared.work_dir(spark, "run-index"))
+
+
+#: A string of 100 bytes is named by its MD5; texts are cut into pieces that overlap by 99 bytes, so that no string is missed.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (SELECT doc_id, k, substring(h, k * 4000 + 1, 4198) AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 4000 + 1)) AS k FROM t)),
+place AS (SELECT doc_id, k * 2000 + j AS pos, p, j FROM (SELECT doc_id, k, p, unnest(range(0, least(2000, length(p) // 2 - 99))) AS j FROM piece WHERE length(p) >= 200)),
+later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, md5_number(substring(p, 2 * j + 1, 200)) AS key FROM place) QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
+step AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100, TRUE)::INT AS new FROM later),
+run AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM step),
+span AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM run GROUP BY doc_id, run),
+edge AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span),
+left_over AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM edge JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN left_over USING (doc_id)
+"""
