@@ -156,3 +156,31 @@ def judged(docs: DataFrame, folder: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.session_setup(spark)
     return judged(shared.documents(spark, sf_dir), shared.work_dir(spark, "quality")).drop(*MEASURES)
+
+
+#: The same buckets, counted by grouping sets in place of merged sketches.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 3)),
+hit AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hit, range(3) r(j) GROUP BY 1),
+line AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w JOIN line USING (doc_id) LEFT JOIN rep USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+v AS (SELECT doc_id, lang, source, base_failed, unnest([
+        {'m': 'signs', 'x': n_symbols / greatest(1, n_words), 'spread': 0.04::DOUBLE}, {'m': 'lines', 'x': n_dup_lines / greatest(1, n_lines), 'spread': 0.06::DOUBLE},
+        {'m': 'words', 'x': n_repeat_words / greatest(1, n_words), 'spread': 0.06::DOUBLE}, {'m': 'letters', 'x': word_chars / greatest(1, n_words), 'spread': 0.75::DOUBLE}], recursive := TRUE) FROM base),
+k AS (SELECT *, CAST(ceil(ln(greatest(x, 1e-6::DOUBLE)) / ln(1.02::DOUBLE)) AS INTEGER) AS b FROM v),
+sketch AS (SELECT grouping(lang, source) AS g, lang, source, m, spread, b, CASE WHEN b <= ceil(ln(1e-6::DOUBLE) / ln(1.02::DOUBLE)) THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, b) END AS value, count(*) AS n
+           FROM k WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source, m, spread, b), (lang, m, spread, b), (m, spread, b))),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY g, lang, source, m ORDER BY b) AS up_to, sum(n) OVER (PARTITION BY g, lang, source, m) AS size FROM sketch),
+q AS (SELECT g, lang, source, m, spread, max(size) AS size, min(value) FILTER (WHERE up_to >= 0.1::DOUBLE * size) AS q10, min(value) FILTER (WHERE up_to >= 0.5::DOUBLE * size) AS q50, min(value) FILTER (WHERE up_to >= 0.9::DOUBLE * size) AS q90
+      FROM ranked GROUP BY ALL),
+fence AS (SELECT g, lang, source, m, q50 + 6 * greatest(q50 - q10, spread) AS high, CASE WHEN m = 'letters' THEN q50 - 6 * greatest(q90 - q50, spread) ELSE 0 END AS low FROM q WHERE g = 3 OR size >= 50),
+verdict AS (SELECT doc_id, bool_and(coalesce(x <= coalesce(f1.high, f2.high, f3.high) AND x >= coalesce(f1.low, f2.low, f3.low), FALSE)) AS good FROM k
+            LEFT JOIN fence f1 ON f1.g = 0 AND f1.m = k.m AND f1.lang IS NOT DISTINCT FROM k.lang AND f1.source IS NOT DISTINCT FROM k.source
+            LEFT JOIN fence f2 ON f2.g = 1 AND f2.m = k.m AND f2.lang IS NOT DISTINCT FROM k.lang
+            LEFT JOIN fence f3 ON f3.g = 3 AND f3.m = k.m GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM base JOIN verdict USING (doc_id)
+"""

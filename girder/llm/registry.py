@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_warc": warc.ORACLE,
+    "op4_quality": quality.ORACLE,
     "op5_run_index": run_index.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op8_minhash": minhash.ORACLE,
