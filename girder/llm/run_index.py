@@ -67,7 +67,7 @@ class RunIndex:
         self.lengths = np.array([len(s) for s in strings], np.int64)
         self.ends = np.cumsum(self.lengths + 1) - 1  # places of the end marks
         self.begin = self.ends - self.lengths if begin is None else begin
-        text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + n
+        text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int32) + np.int32(n)
         text[self.ends] = np.arange(n)
         self.text = text
         rows, self.same = _sorted_suffixes(text, int(self.lengths.max(initial=0)) + 1, depth)
@@ -147,34 +147,51 @@ def _sorted_suffixes(text: np.ndarray, longest: int, depth: int) -> tuple[np.nda
     while 2 * have * bits <= 62:
         have *= 2
     key = np.zeros(n, np.int64)
-    wide = np.concatenate([text + 1, np.zeros(have, np.int64)])
     for k in range(have):
-        key = (key << bits) + wide[k : k + n]
-    agreed = {1: text}
+        key <<= bits
+        key[: max(0, n - k)] += text[k:] + 1
+    steps = _steps(depth, have)
+    agreed = {1: text} if 1 in steps else {}
     while True:
         order = np.argsort(key)
         ranked = key[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        agreed[have] = rank
+        del ranked
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
+        if have in steps:
+            agreed[have] = rank
         if have >= longest or new.all():
             break
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - have] = rank[have:]
-        key = rank * (n + 1) + ahead
+        np.multiply(rank, n + 1, out=key, dtype=np.int64)
+        key[: max(0, n - have)] += rank[have:]
         have *= 2
-    same, at, left = np.ones(max(0, n - 1), bool), 0, depth
-    for size in sorted(agreed, reverse=True):
-        while size <= left:
-            a, b = order[1:] + at, order[:-1] + at
-            inside = (a < n) & (b < n)
-            same &= inside
-            same[inside] &= agreed[size][a[inside]] == agreed[size][b[inside]]
-            at, left = at + size, left - size
+    same, at = np.ones(max(0, n - 1), bool), 0
+    if max(steps, default=0) > have:  # no two suffixes agree that far
+        same[:] = False
+        steps = []
+    for size in steps:
+        a, b = order[1:] + at, order[:-1] + at
+        inside = (a < n) & (b < n)
+        same &= inside
+        same[inside] &= agreed[size][a[inside]] == agreed[size][b[inside]]
+        at += size
     return order, np.concatenate([np.zeros(min(1, n), bool), same])
 
 
+def _steps(depth: int, have: int) -> list[int]:
+    """Sizes that add up to `depth`, of 1, `have` and its doubles: only their ranks are kept."""
+    out, size = [], have
+    while 2 * size <= depth:
+        size *= 2
+    while depth:
+        while size > depth:
+            size = size // 2 if size > have else 1
+        out.append(size)
+        depth -= size
+    return out
+
+
 # ---- anchors
 def _powers(n: int, known: dict = {"n": 0}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     if known["n"] < n:
@@ -372,12 +389,11 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
 
     def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
-            block = block.sort_by("shard")
             each = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in block.column("keys").to_pylist()]
             shard = np.repeat(block.column("shard").to_numpy(), [len(x) for x in each])
             key, whole = np.concatenate(each).T
             text, start, size = np.frombuffer(b"".join(block.column("head").to_pylist()), "<i4").reshape(-1, 3).T.astype(np.int64)
-            body, bucket = b"".join(block.column("body").to_pylist()), block.column("bucket")[0].as_py()
+            body, bucket = _joint(block.column("body")), block.column("bucket")[0].as_py()
             offset = np.cumsum(size) - size
             order = np.lexsort((start, text, shard, whole, key))  # the order of the corpus comes last
             rank = np.stack([key, whole, start.view(np.uint64), text.view(np.uint64), shard.astype(np.uint64)])[:, order]
@@ -401,7 +417,7 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
                 some = some[np.lexsort((start[some], text[some], shard[some]))]  # the order of the corpus
                 of = np.stack([shard[some], text[some]])
                 number = np.cumsum(np.concatenate([[0], (of[:, 1:] != of[:, :-1]).any(axis=0)]))
-                index = RunIndex([body[offset[k] : offset[k] + size[k]] for k in some], match, (number << 40) + start[some])
+                index = RunIndex([bytes(body[offset[k] : offset[k] + size[k]]) for k in some], match, (number << 40) + start[some])
                 got = list(index.repeated())
                 if got:
                     at = some[np.concatenate([x for x, _ in got])]
@@ -416,6 +432,14 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
     return shared.written(dealt.mapInArrow(mark, "shard int, bucket int, spans binary"), folder, "marks")
 
 
+def _joint(column: pa.ChunkedArray) -> memoryview:
+    """The bytes of all values, one after another, without a copy where they lie in one chunk."""
+    chunks = [c for c in column.chunks if len(c)]
+    one = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
+    ends = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1]
+    return memoryview(one.buffers()[2])[int(ends[0]) : int(ends[-1])]
+
+
 def _portions(order: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
     """Parts of `order`, which is sorted by key: whole keys, with INDEX_BYTES at least but for the last."""
     if not len(order):
