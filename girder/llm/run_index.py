@@ -434,10 +434,11 @@ def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram:
 
 def _joint(column: pa.ChunkedArray) -> memoryview:
     """The bytes of all values, one after another, without a copy where they lie in one chunk."""
-    chunks = [c for c in column.chunks if len(c)]
-    one = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
-    ends = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1]
-    return memoryview(one.buffers()[2])[int(ends[0]) : int(ends[-1])]
+    pieces = []
+    for c in column.chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        pieces.append(memoryview(c.buffers()[2])[int(ends[0]) : int(ends[-1])])
+    return pieces[0] if len(pieces) == 1 else memoryview(b"".join(pieces))
 
 
 def _portions(order: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
