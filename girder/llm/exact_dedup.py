@@ -32,11 +32,15 @@ def _named(distinct: DataFrame, keys: list[str], n: int, folder: str, name: str)
     return shared.written(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), folder, name)
 
 
-def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """_row, doc_id, n_chars, text_sha256, n_blocks and name: two texts are equal if n_blocks and name are."""
+def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, *, address: str | None = None) -> DataFrame:
+    """_row, doc_id, n_chars, text_sha256, n_blocks and name: two texts are equal if n_blocks and name are.
+
+    `_row` is the column `address` of `docs`; without one, rows are numbered here, by the one scan that needs it.
+    """
     spark = docs.sparkSession
     n = shared.partitions(spark)
-    texts = shared.with_row_address(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    texts = docs.select(F.col(address).alias("_row"), *columns) if address else shared.with_row_address(docs.select(*columns))
     texts = texts.select("_row", "doc_id", F.length("text").alias("n_chars"), F.encode(without_blanks(F.col("text")), "UTF-8").alias("body"))
     texts = texts.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.length("body") / block_bytes)).cast("int"))
     block = F.substring("body", F.col("at") * block_bytes + 1, F.lit(block_bytes))
@@ -67,9 +71,9 @@ def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) ->
     return at.where("at = 0").select("_row", "doc_id", "n_chars", "n_blocks", "text_sha256").join(done, "_row")
 
 
-def groups(docs: DataFrame, folder: str) -> DataFrame:
+def groups(docs: DataFrame, folder: str, address: str | None = None) -> DataFrame:
     """One row for each document: _row, doc_id, keep_id, group_size, kept, text_sha256."""
-    named = shared.written(identities(docs, folder), folder, "identities")
+    named = shared.written(identities(docs, folder, address=address), folder, "identities")
     order = F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row"))
     best = named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     got = named.join(best, ["n_blocks", "name"])
@@ -77,8 +81,9 @@ def groups(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, folder: str) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. `docs` must be a plain scan of files."""
-    return shared.rows_kept(docs, groups(docs, folder).where("kept"))
+    """The rows of `docs` that stay, with all their columns."""
+    rows, name = shared.addressed(docs, folder)
+    return shared.rows_kept(rows, name, groups(rows, folder, name).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

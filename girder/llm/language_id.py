@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,42 +132,53 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pre
 RESULT_DDL = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def predict(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row, and its `_row` where `docs` has that column."""
-    carried = [c for c in docs.columns if c == "_row"]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), *carried)
-    fitted = fitting_rows(docs, rows)
-    model = Classifier([t for t, _ in fitted], [x for _, x in fitted]) if fitted else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by the parameters above
+def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> Broadcast[Classifier | None]:
+    """The classifier of `docs` (doc_id, text, lang), sent to all executors."""
+    known = fitting_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")), rows)
+    model = Classifier([t for t, _ in known], [x for _, x in known]) if known else None
+    return docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by the parameters above
+
+
+def labelled(parts: Iterable[pa.RecordBatch], model: Classifier | None, column: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Each batch with the languages and scores of its texts, which are in `column`."""
+    spectrum = Spectrum(model.grams) if model else None
+    for part in parts:
+        texts = part.column(column).to_pylist()
+        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+        for k in range(0, len(lettered), BATCH_TEXTS):
+            at = lettered[k : k + BATCH_TEXTS]
+            found, score = model.score(spectrum, [texts[i] for i in at])
+            scores[at] = score
+            for i, lang in zip(at, found, strict=True):
+                langs[i] = lang
+        yield part, langs, scores
 
-    schema = RESULT.append(pa.field("_row", pa.int64())) if carried else RESULT
+
+def predict(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row."""
+    sent = fitted(docs, rows)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        spectrum = Spectrum(model.grams) if model else None
-        for part in parts:
-            texts = part.column(2).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
-            for k in range(0, len(lettered), BATCH_TEXTS):
-                at = lettered[k : k + BATCH_TEXTS]
-                found, score = model.score(spectrum, [texts[i] for i in at])
-                scores[at] = score
-                for i, lang in zip(at, found, strict=True):
-                    langs[i] = lang
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(scores), *part.columns[3:]], schema=schema)
-
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *carried).mapInArrow(run, RESULT_DDL + (", _row long" if carried else ""))
+        for part, langs, scores in labelled(parts, sent.value, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(scores)], schema=RESULT)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, RESULT_DDL)
 
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the operator gives a language, with all their columns.
 
-    Texts that are null or without a letter are rejected. Predictions are joined by the place of the row in
-    the scan, as doc_id need not be unique; `docs` must be a plain scan of files.
+    Texts that are null or without a letter are rejected. Rows are judged as they pass, with all their columns: nothing
+    is joined, so neither doc_id nor a row's place in a scan need tell rows apart.
     """
-    rows = shared.with_row_address(docs.select("doc_id", "text", "lang"), "_row")
-    return shared.rows_kept(docs, predict(rows).where(F.col("lang_pred") != UNKNOWN))
+    sent, at = fitted(docs), docs.columns.index("text")
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, langs, _ in labelled(parts, sent.value, at):
+            yield part.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

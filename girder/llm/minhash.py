@@ -258,7 +258,12 @@ def between(members: DataFrame, near: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, folder: str, width: int = 5, near: int = NEAR) -> DataFrame:
     """One row for each document: _row, doc_id, n_shingles, component_id, and `kept` for one row of each component."""
-    rows = shared.with_row_address(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_row", "doc_id", "text")
+    rows, name = shared.addressed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), folder)
+    return grouped(rows.select(name, "doc_id", "text"), folder, width, near)
+
+
+def grouped(rows: DataFrame, folder: str, width: int = 5, near: int = NEAR) -> DataFrame:
+    """`near_groups` of written rows (_row, doc_id, text): they are read twice, and must have the same addresses then."""
     own = shared.written(signed(rows, width), folder, "signed")
     first = F.min(F.struct("_row", "n_shingles", "signature", "bands")).alias("first")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
@@ -304,8 +309,10 @@ def near_groups(docs: DataFrame, folder: str, width: int = 5, near: int = NEAR)
 
 
 def deduplicated(docs: DataFrame, folder: str, width: int = 5) -> DataFrame:
-    """The rows of `docs` that stay, one of each component, with all their columns. `docs` must be a plain scan of files."""
-    return shared.rows_kept(docs, near_groups(docs, folder, width).where("kept"))
+    """The rows of `docs` that stay, one of each component, with all their columns."""
+    rows, name = shared.addressed(docs, folder)
+    own = rows.select(F.col(name).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return shared.rows_kept(rows, name, grouped(own, folder, width).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+def written(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: lineage ends there."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,14 +79,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `docs` whose address is in `kept` (_row), with all their columns, whatever their names."""
+def addressed(df: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """`df` with an address for each row, and the name of the addresses' column, which `df` does not have itself.
+
+    Addresses follow the splits of a scan, and these follow the executors at hand: a second scan of the same files may
+    number its rows otherwise. So they are made once and written with the rows, and all that asks for rows by
+    address reads the written table.
+    """
     name = "_row"
-    while name in docs.columns:
+    while name in df.columns:
         name = f"_{name}"
-    return with_row_address(docs, name).join(kept.select(F.col("_row").alias(name)), name, "left_semi").select(*docs.columns)
+    return written(with_row_address(df, name), folder, "rows", compression="zstd"), name
+
+
+def rows_kept(rows: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """Those of `rows` (`addressed`, under `name`) whose address is in `kept` (_row), without it."""
+    return rows.join(kept.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
 
 
 def with_row_address(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number rows by scan partition and place; the same for each scan of the same files."""
+    """Number rows by scan partition and place. For rows that are scanned once: another scan may give other numbers."""
     return df.withColumn(name, F.monotonically_increasing_id())
