@@ -7,8 +7,11 @@ depth-first walk through the trie of the words, and the pieces that end at a pla
 reversed vocabulary... once for each new letter, never again for a shared one.
 
 The score of a piece is the one that the model file gives, and the segmentation with the largest sum is taken; of equal
-sums the one with the longer last piece. A letter that no piece covers costs `UNKNOWN` below the lowest score and is
-written as its UTF-8 bytes, one byte piece each. (The file at hand was made for merging by rank: ids here are those
+sums the one with the longer last piece. The file bars the mark and its runs with scores that would swamp the sums; here
+the mark has the score of its place in the file, between those of its neighbours, and a run that of its marks one by
+one, so that the longer piece is taken. A letter that no piece covers costs `UNKNOWN` below the lowest score and is
+written as its UTF-8 bytes, one byte piece each; as no piece of one letter scores below the lowest, a letter that has a
+piece is never written so. (The file at hand was made for merging by rank: ids here are those
 of the best-sum segmentation of its pieces, and decode to the same text.)
 
 Edge cases: null and empty texts have no pieces; repeated rows are encoded again; a null doc_id stays null; an
@@ -32,7 +35,7 @@ MARK = "▁"
 UNKNOWN = -10.0
 #: Words whose ids a worker remembers; past this many it forgets all.
 REMEMBERED = 400_000
-#: Pieces that the model bars score so low that they would swamp the sums; they are left out.
+#: Pieces that the model bars score so low that they would swamp the sums; they get other scores (`usable`).
 BARRED = -1e8
 
 
@@ -59,6 +62,14 @@ def marked_words(text: str) -> list[str]:
     return out
 
 
+def usable(names: dict[int, str], scores: dict[int, float], unknown: float) -> dict[int, float]:
+    """The scores, but for barred pieces: one letter has that of its place among the ids, more letters have their sum."""
+    known = sorted(i for i, s in scores.items() if s > BARRED)
+    out = {i: s if s > BARRED else float(np.interp(i, known, [scores[k] for k in known])) for i, s in scores.items() if s > BARRED or len(names[i]) == 1}
+    letters = {names[i]: s for i, s in out.items() if len(names[i]) == 1}
+    return {i: out[i] if i in out else sum(letters.get(c, unknown) for c in names[i]) for i in scores}
+
+
 class Pieces:
     """The vocabulary, and the segmentation of sorted words."""
 
@@ -75,12 +86,12 @@ class Pieces:
         self.unknown = low + UNKNOWN
         # the trie of reversed pieces: [children, id, score]; from a place in a word it is walked backwards
         self.root: list = [{}, -1, 0.0]
+        scores = usable(self.text, scores, self.unknown)
         for i, piece in self.text.items():
-            if scores[i] > BARRED or len(piece) == 1:
-                node = self.root
-                for c in reversed(piece):
-                    node = node[0].setdefault(c, [{}, -1, 0.0])
-                node[1], node[2] = i, scores[i]
+            node = self.root
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1], node[2] = i, scores[i]
         self.known: dict[str, bytes] = {}
 
     def segment_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
