@@ -13,9 +13,10 @@ never cross documents and are judged on the input.
 4. Contexts that were asked for are cut into bands of `BAND` starts each. What all strings of a band share, some 85
    bytes, is the key by which bands go to buckets. There equal bands meet, and the later ones go whole; a key with one
    band left is dropped. Over the rest a run-length index is built in the order of the corpus, some keys at a
-   time: a run-compressed Burrows-Wheeler transform with suffix-array samples at run ends and, for each
-   stretch of rows that agree in `MATCH` bytes, its earliest place. The bands are streamed through it from their
-   ends, which gives the match of every place with what lies before it; matches of `MATCH` bytes are marked.
+   time: a run-compressed Burrows-Wheeler transform and, for each stretch of rows that agree in `MATCH` bytes, its
+   earliest place. The bands are streamed through it from their ends, which gives the row of every place, and what
+   has an earlier place in its row's stretch is marked. Match lengths are not computed: `matching_statistics`, with
+   suffix-array samples at run ends, gives where one longest match starts, not the earliest, and the query does not call it.
 5. Each shard takes away what was marked.
 
 Copies inside a shard and between shards meet as hashes before any context moves, so a passage that a third of all
