@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
@@ -42,14 +43,24 @@ class Memory:
         return new.difference(known)
 
 
+def only_letters(word: str) -> bool:
+    """Whether a word is letters alone, and still is once the normaliser has composed and lower-cased it.
+
+    A capital dotted I turns into a letter and a mark; the vocabulary cuts before the mark, which then joins the signs
+    behind the word.
+    """
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space before it looks for words, and neither its normaliser nor its
     merges reach across a blank or a line end. So the ids of a text are the ids of its parts between
     blanks and line ends, one after another, and parts met before need not be encoded again. Nor does a
-    merge reach from letters to the signs behind them, and ASCII letters are lower-cased: so the parts
-    `Word`, `word` and `word,` share the ids of one bare word. A null or empty text has no ids.
+    merge reach from letters to the signs behind them if the letters are still letters when normalised
+    (`only_letters`), and ASCII letters are lower-cased: so the parts `Word`, `word` and `word,` share the ids of one
+    bare word. All other parts are encoded whole. A null or empty text has no ids.
     """
 
     def __init__(self, path: str | None = None):
@@ -82,7 +93,7 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         parts = list(new)
         bare = [p.rstrip(SIGNS) for p in parts]
-        kind = list(map(str.isalpha, bare))
+        kind = list(map(only_letters, bare))
         odd = [p for p, k in zip(parts, kind, strict=True) if not k]
         words = [w.lower() if w.isascii() else w for w, k in zip(bare, kind, strict=True) if k]
         parts = [p for p, k in zip(parts, kind, strict=True) if k]
@@ -106,7 +117,7 @@ class WordEncoder:
             some = words[k : k + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(some):  # a letter that its lower case turns into more than letters
+            if len(ends) != len(some):  # not one end for each word: an alphabet that the vocabulary cuts otherwise
                 out += self._each(some)
                 continue
             raw, at = ids.tobytes(), 0
