@@ -3,11 +3,11 @@
 The kernel of two texts counts the n-grams of 1 to `MAX_N` bytes that both have, over the square root of what each
 has. Landmark texts give a Nyström feature map K(x, L) W^(-1/2), and one-versus-rest kernel ridge regression on it
 gives a value for each language. Texts are scored in batches: one product of the presence matrix with the landmarks,
-one with the weights. n-grams that no landmark has cannot add to a kernel value, so only those of the landmarks are
-counted, for the norm too; texts are lower-cased and whole.
+one with the weights. n-grams that no landmark has cannot add to what two texts share, so the matrix has those of the
+landmarks alone; the norm counts all n-grams of a text. Texts are lower-cased and whole.
 
-The classifier is fitted on at most `FIT_ROWS` labelled rows of each language, of which `LANDMARKS` are landmarks:
-those with the smallest hash of doc_id, whatever the order of the rows.
+The classifier is fitted on at most `FIT_ROWS` labelled rows of each language, whole texts of up to `FIT_CHARS`
+characters, of which `LANDMARKS` are landmarks: those with the smallest hash of doc_id, whatever the order of the rows.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without any labelled rows all are `und`; repeated
 rows are predicted alike; a null doc_id is neither learned from nor held out; other columns are not read.
@@ -29,9 +29,9 @@ from . import shared
 MAX_N = 3
 LANDMARKS = 24
 FIT_ROWS = 192
+#: Rows for fitting are texts of at most so many characters, which bounds what the driver gets.
+FIT_CHARS = 1 << 18
 RIDGE = 1e-2
-#: n-grams that fewer landmarks have are not counted.
-LEAST_LANDMARKS = 2
 BATCH_TEXTS = 256
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -52,7 +52,7 @@ def codes(text: str, max_n: int = MAX_N) -> list[np.ndarray]:
 
 
 class Spectrum:
-    """Presence of the n-grams that the landmarks have."""
+    """Presence of the n-grams that the landmarks have, over the square root of the number of all n-grams of the text."""
 
     def __init__(self, grams: list[np.ndarray]):
         self.places, first = [], 0
@@ -64,25 +64,27 @@ class Spectrum:
         self.size = first
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        """A row for each text; rows have length 1."""
+        """A row for each text; the product of two rows is the kernel, if one of them is a landmark's."""
         out = np.zeros((len(texts), self.size + 1), np.float32)
         for row, text in zip(out, texts, strict=True):
+            n = 0
             for place, code in zip(self.places, codes(text, len(self.places)), strict=True):
+                code = np.unique(code)
+                n += len(code)
                 row[place[code]] = 1  # an unknown n-gram goes to the last column
-        out = out[:, : self.size]
-        return out / np.sqrt(np.maximum(1, out.sum(axis=1, keepdims=True)))
+            row /= np.sqrt(max(1, n))
+        return out[:, : self.size]
 
 
 class Classifier:
     """Fitted on texts and their languages; `grams`, landmarks and weights are small arrays."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, least: int = LEAST_LANDMARKS):
+    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
         chosen = [i for lang in self.langs for i in [k for k, x in enumerate(langs) if x == lang][:landmarks]]
         self.grams = []
         for n in range(MAX_N):
-            seen, counts = np.unique(np.concatenate([np.unique(codes(texts[i])[n]) for i in chosen]), return_counts=True)
-            self.grams.append(seen[counts >= min(least, len(chosen))].astype(np.int32))
+            self.grams.append(np.unique(np.concatenate([np.unique(codes(texts[i])[n]) for i in chosen])).astype(np.int32))
         spectrum = Spectrum(self.grams)
         marks = spectrum.presence([texts[i] for i in chosen]).astype(np.float64)
         values, vectors = np.linalg.eigh(marks @ marks.T)
@@ -113,7 +115,7 @@ def fitting_rows(docs: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, str]]
     The share to take follows from the count of each language, so the driver gets a bounded number of rows; it is a
     little more than needed, and the driver keeps the smallest.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= FIT_CHARS) & ~held_out(F.col("doc_id"))).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []

@@ -11,7 +11,8 @@ sums the one with the longer last piece. The file bars the mark and its runs wit
 the mark has the score of its place in the file, between those of its neighbours, and a run that of its marks one by
 one, so that the longer piece is taken. A letter that no piece covers costs `UNKNOWN` below the lowest score and is
 written as its UTF-8 bytes, one byte piece each; as no piece of one letter scores below the lowest, a letter that has a
-piece is never written so. (The file at hand was made for merging by rank: ids here are those
+piece is never written so. A mark that the text itself has is written as its bytes too, so that it does not come back as
+a blank. (The file at hand was made for merging by rank: ids here are those
 of the best-sum segmentation of its pieces, and decode to the same text.)
 
 Edge cases: null and empty texts have no pieces; repeated rows are encoded again; a null doc_id stays null; an
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 MARK = "▁"
+#: Stands for a mark that the text itself has; no valid text holds a lone surrogate.
+OWN_MARK = "\udcff"
 #: Score of an uncovered letter, below the lowest score of the model.
 UNKNOWN = -10.0
 #: Words whose ids a worker remembers; past this many it forgets all.
@@ -49,7 +52,7 @@ def marked_words(text: str) -> list[str]:
     """Words with the marks before them; joined they are the marked text. Marks at the end are a word."""
     if not text:
         return []
-    whole = MARK + text.replace(" ", MARK)
+    whole = MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)
     out, start = [], 0
     while start < len(whole):
         end = start
@@ -120,7 +123,7 @@ class Pieces:
                 if piece >= 0:
                     ids.append(piece)
                 else:
-                    ids += [self.byte[b] for b in reversed(word[start:end].encode("utf-8", "replace"))]
+                    ids += [self.byte[b] for b in reversed(word[start:end].replace(OWN_MARK, MARK).encode("utf-8", "replace"))]
                 end = start
             yield word, ids[::-1]
 
@@ -136,10 +139,13 @@ class Pieces:
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids: pieces joined, runs of byte pieces read as UTF-8, marks turned into blanks, the first dropped."""
-        value = {i: b for b, i in self.byte.items()}
-        raw = b"".join(bytes([value[i]]) if i in value else self.text[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        """The text of ids: pieces with marks turned into blanks, runs of byte pieces read as UTF-8, the first blank dropped."""
+        table = self.bytes_of()
+        return b"".join(table[i] for i in ids).decode("utf-8", "replace")[1:]
+
+    def bytes_of(self) -> dict[int, bytes]:
+        """What each id stands for; a mark that a text itself has is in byte pieces, and stays a mark."""
+        return {i: p.replace(MARK, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.byte.items()}
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -160,16 +166,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         table = np.zeros(max([*model.text, *model.byte.values()]) + 1, object)
-        for i, p in model.text.items():
-            table[i] = p.encode()
-        for b, i in model.byte.items():
-            table[i] = bytes([b])
+        for i, raw in model.bytes_of().items():
+            table[i] = raw
         for part in parts:
             texts = part.column(1).to_pylist()
             ids = model.encode_batch(texts)
-            # a mark that a text itself has comes back as a blank
-            back = [b"".join(table[np.frombuffer(x, "<u4")].tolist()).decode("utf-8", "replace").replace(MARK, " ")[1:] for x in ids]
-            same = [b == (t or "").replace(MARK, " ") for b, t in zip(back, texts, strict=True)]
+            back = [b"".join(table[np.frombuffer(x, "<u4")].tolist()).decode("utf-8", "replace")[1:] for x in ids]
+            same = [b == (t or "") for b, t in zip(back, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], schema=RESULT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decodes boolean")

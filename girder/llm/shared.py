@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch sent to a Python worker; texts may be long, so batches are short.
@@ -17,7 +19,11 @@ BATCH_BYTES = 4 << 20
 
 
 def session_setup(spark: SparkSession) -> None:
-    """Short Arrow batches, so that a worker's memory holds few texts at a time."""
+    """Short Arrow batches, so that a worker's memory holds few texts at a time.
+
+    The queries and stages call this, as the setting is read when a plan runs, after they have returned; operators do
+    not, and leave the session to their caller.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -29,7 +35,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="girder-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -97,6 +103,16 @@ def rows_kept(rows: DataFrame, name: str, kept: DataFrame) -> DataFrame:
     return rows.join(kept.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
 
 
+def file_place(scan: DataFrame) -> Column:
+    """File and place in it of each row of a scan of files: the same for each scan, however it is split."""
+    try:
+        place = scan.metadataColumn("_metadata")
+        scan.select(place)
+    except AnalysisException as e:
+        raise ValueError("rows have a place in a file only in a scan of files") from e
+    return F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+
 def with_row_address(df: DataFrame, name: str = "_row") -> DataFrame:
     """Number rows by scan partition and place. For rows that are scanned once: another scan may give other numbers."""
     return df.withColumn(name, F.monotonically_increasing_id())

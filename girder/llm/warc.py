@@ -89,7 +89,9 @@ class Records:
     def _record(self, pieces: Iterator[bytes]) -> dict:
         held = b""
         while b"\r\n\r\n" not in held:
-            held += next(pieces)
+            if not (more := next(pieces, b"")):
+                raise ValueError("a header ends early")
+            held += more
         head, held = held.split(b"\r\n\r\n", 1)
         first, *lines = head.split(b"\r\n")
         if first != VERSION:
@@ -141,12 +143,14 @@ def typed(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to and whether the record revisits.
 
     Digests that occur once are not joined at all. Those that repeat are grouped with partial sums first, and the
-    join is left to Spark's skew handling, as one payload may be that of a third of all pages.
+    join is left to Spark's skew handling, as one payload may be that of a third of all pages. `pages` is a scan of files:
+    repeated rows of one page_id are told apart by file and place in it, which no other split of the scan changes.
     """
-    rows = shared.with_row_address(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")))
+    place = shared.file_place(pages).alias("_row")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"), place)
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.when(F.length("payload") >= LEAST_BYTES, F.col("digest")))
     first = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("_row"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    alone = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.col("_row").cast("string"))))
+    alone = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("_row").cast("string"))))
     got = alone.join(first, "key", "left")
     revisit = F.col("first").isNotNull() & (F.col("first._row") != F.col("_row"))
     return got.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))

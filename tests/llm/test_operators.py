@@ -117,6 +117,18 @@ def test_warc(spark, tmp_path):
             assert kinds == [(-1, "revisit", 2), (2, "response", None), (2, "revisit", 2), (3, "response", None), (4, "response", None), (5, "revisit", 2), (6, "response", None), (7, "response", None), (8, "response", None)]
 
 
+def test_warc_with_clashing_columns_and_no_scan(spark, tmp_path):
+    rows = [(k, "u", "<p>" + "z" * 200, 1, "x", "k", 5) for k in (4, 3, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _row long, digest string, key string, payload int")
+    df.repartition(2).write.parquet(f"{tmp_path}/p")
+    got = warc.typed(spark.read.parquet(f"{tmp_path}/p")).collect()
+    assert sorted((r["page_id"], r["revisit"], r["refers_to"]) for r in got) == [(3, False, None), (3, True, 3), (4, True, 3)]
+    with pytest.raises(ValueError, match="scan"):
+        warc.typed(df)
+    with pytest.raises(ValueError, match="header"):
+        list(warc.Records(io.BytesIO(zlib.compress(b"WARC/1.1\r\nWARC-Type: response\r\n", wbits=31))))
+
+
 def test_warc_reader_keeps_payloads_and_finds_damage():
     payload = "häuser\r\n\r\n".encode() * 30_000
     digest = hashlib.sha256(payload).hexdigest()
@@ -376,6 +388,34 @@ def test_language(spark, table, empty):
     assert left.columns == table.columns and left.count() == table.count() - 4  # no letter in the first three and in the last
 
 
+def test_language_against_a_plain_kernel():
+    """Kernel values from sets of n-grams, landmarks, feature map and regression written out."""
+    texts = [prose(k, 20, WORDS if k % 2 else GERMAN) for k in range(14)]
+    langs = ["en" if k % 2 else "de" for k in range(14)]
+    model = language_id.Classifier(texts, langs, landmarks=3)
+
+    def grams(text):
+        raw = b" " + text.lower().encode() + b" "
+        return {raw[k : k + n] for n in (1, 2, 3) for k in range(len(raw) - n + 1)}
+
+    kernel = lambda x, y: len(grams(x) & grams(y)) / (len(grams(x)) * len(grams(y))) ** 0.5
+    marks = [texts[k] for k in (0, 2, 4, 1, 3, 5)]
+    w = np.array([[kernel(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(w)
+    root = vectors / np.sqrt(values)
+    of = lambda some: np.hstack([np.array([[kernel(x, y) for y in marks] for x in some]) @ root, np.ones((len(some), 1))])
+    target = np.array([[1.0 if x == "de" else -1.0, 1.0 if x == "en" else -1.0] for x in langs])
+    solved = np.linalg.solve(of(texts).T @ of(texts) + language_id.RIDGE * np.eye(7), of(texts).T @ target)
+    asked = [prose(50 + k, 6, WORDS if k % 2 else GERMAN) for k in range(8)] + ["the und haus of", "zq ẞ 漢字"]
+    want = of(asked) @ solved
+    spectrum = language_id.Spectrum(model.grams)
+    got = (spectrum.presence(asked) @ model.marks.T) @ model.weights + model.bias
+    assert np.abs(got - want).max() < 1e-3
+    found, score = model.score(spectrum, asked)
+    assert found == [["de", "en"][k] for k in want.argmax(axis=1)]
+    assert np.abs(score - 1 / (1 + np.exp(-4 * np.abs(want[:, 0] - want[:, 1])))).max() < 1e-2
+
+
 def test_language_on_held_out_rows(spark):
     path = "/root/testdata/sf0.01"
     docs = shared.documents(spark, path)
