@@ -195,6 +195,44 @@ def test_thresholds_follow_the_group(spark, tmp_path):
     assert all(got[k] == (k % 10 != 0) for k in range(200)) and all(got[1000 + k] for k in range(100))
 
 
+def plain_fences(rows):
+    """Of (lang, source, values): quantiles of each group's values, of its language's and of all's, by weight."""
+    place = lambda x: quality.GROWTH ** np.ceil(np.log(x) / np.log(quality.GROWTH))
+    out = {}
+    for lang, source in {r[:2] for r in rows}:
+        for m, (lo, hi, reach, _) in quality.MEASURES.items():
+            each = [[place(r[2][m]) for r in rows if r[: len(key)] == key] for key in ((lang, source), (lang,), ())]
+            weights = [np.full(len(each[2]), quality.PRIOR / len(each[2]))]
+            weights.insert(0, np.ones(len(each[1])))
+            total = len(each[1]) + quality.PRIOR
+            weights = [np.ones(len(each[0])), *(w * quality.PRIOR / total for w in weights)]
+            values, w = np.concatenate(each), np.concatenate(weights)
+            order = np.argsort(values)
+            at = np.cumsum(w[order]) / w.sum()
+            a, b = (values[order][np.searchsorted(at, p / 100)] for p in (lo, hi))
+            out[lang, source, m] = (b + reach * (b - a), a - reach * (b - a))
+    return out
+
+
+def test_each_measure_moves_its_fence(spark):
+    """Groups that differ in one measure alone get other fences for it; small and large groups by one formula."""
+    rng, rows = np.random.default_rng(0), []
+    for source, moved, n in [("plain", None, 300), ("small", None, 3), *((m, m, k) for m, k in zip(quality.MEASURES, (200, 49, 50, 51), strict=True)), (None, "letters_a_word", 120)]:
+        for _ in range(n):
+            values = {"signs_a_word": 0.01, "repeated_lines": 0.1, "repeated_words": 0.02, "letters_a_word": 5.0}
+            rows.append(("en" if source else None, source, {m: x * (3 if m == moved else 1) * rng.uniform(0.8, 1.25) for m, x in values.items()}))
+    schema = "lang string, source string, " + ", ".join(f"{m} double" for m in quality.MEASURES)
+    got = quality.group_fences(spark.createDataFrame([(a, b, *v.values()) for a, b, v in rows], schema), folder(spark)).collect()
+    want = plain_fences(rows)
+    assert len(got) == 7
+    for r in got:
+        for m, (_, _, _, both) in quality.MEASURES.items():
+            high, low = want[r["lang"], r["source"], m]
+            assert r["fence"][f"high_{m}"] == pytest.approx(high, rel=0.15) and (not both or r["fence"][f"low_{m}"] == pytest.approx(low, rel=0.15, abs=0.3))
+    by = {r["source"]: r["fence"] for r in got}
+    assert all(by[m][f"high_{m}"] > 1.5 * by["plain"][f"high_{m}"] for m in quality.MEASURES)
+
+
 # ---- 5
 def plain_repeats(rows, match):
     seen, out = set(), []
