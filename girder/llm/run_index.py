@@ -1,36 +1,42 @@
 """Long repeats with a run-length index.
 
-A byte goes if a string of `MATCH` bytes that covers it also starts earlier in the corpus. Strings of that length
+A byte goes if a string of `match` bytes that covers it also starts earlier in the corpus. Strings of that length
 never cross documents and are judged on the input.
 
 1. Texts are sorted by doc_id into shards, which are written once to the shared folder.
-2. Every string of `MATCH` bytes holds an anchor: the place with the smallest hash of `GRAM` bytes among those in the
+2. Every string of `match` bytes holds an anchor: the place with the smallest hash of `gram` bytes among those in the
    string. Equal strings hold equal anchors at equal places, so a string has an earlier copy only if one of its
    anchor's equals has it. Around an anchor lies its context: all bytes of strings that hold it.
 3. A shard sends each distinct (anchor, context) once, as hashes of 64 bits each, to a bucket by the anchor's hash. The
-   bucket answers whether the context is in an earlier shard (then all of it goes), or only the anchor has
-   more contexts (then the context itself is asked for), or neither.
-4. Contexts that were asked for are cut into bands of `BAND` starts each. What all strings of a band share, some 85
-   bytes, is the key by which bands go to buckets. There equal bands meet, and the later ones go whole; a key with one
-   band left is dropped. Over the rest a run-length index is built in the order of the corpus, some keys at a
-   time: a run-compressed Burrows-Wheeler transform and, for each stretch of rows that agree in `MATCH` bytes, its
-   earliest place. The bands are streamed through it from their ends, which gives the row of every place, and what
-   has an earlier place in its row's stretch is marked. Match lengths are not computed: `matching_statistics`, with
-   suffix-array samples at run ends, gives where one longest match starts, not the earliest, and the query does not call it.
-5. Each shard takes away what was marked.
-
-Copies inside a shard and between shards meet as hashes before any context moves, so a passage that a third of all
-documents have costs one entry a shard; short lines that many documents have around different words part by the longer
-keys. Every piece of a shard's work is a function of its file.
+   bucket answers for each in which shard and portion of it the context comes first, and whether an anchor has more
+   contexts than one. Hashes only say where to look; nothing is removed by them.
+4. Contexts that come again, joined where they overlap, go to the portion that has the first of them (each distinct
+   stretch once a shard, with all its places). The portion's first contexts are built into a run-length index: a
+   run-compressed Burrows-Wheeler transform with suffix-array samples at the ends of its runs, and for each
+   stretch of rows that agree in `match` bytes its earliest place. The stretches are streamed through it from their
+   ends: matching statistics, up to `match`. A place whose match is that long and whose row has an earlier place
+   marks its string.
+5. Anchors with several contexts may share strings though the contexts differ. Their first contexts are cut into bands of
+   `band` starts (`hot_band`, if an anchor has more than `hot` contexts). What all strings of a band share, some 85
+   bytes (97), is the key by which bands go to buckets. There distinct bands are indexed, some keys at a time, and all
+   are streamed through the index as above.
+6. Each shard takes away what was marked.
+
+A passage that a third of all documents have costs one entry and one stretch a shard. A line that very many documents
+have amid different words has as many contexts; its bands of few starts are equal within the line, which leaves one a
+shard, and have different keys beyond it. Rows sent are as many as there is something to send. Every piece of a shard's
+work is a function of its file and of rows that were written.
 
 Edge cases: null and empty texts have no bytes and keep the digest of nothing; rows of one doc_id are ordered by text, and
-the later ones of equal rows lose all if they have `MATCH` bytes; a null doc_id comes first; an empty table gives no
+the later ones of equal rows lose all if they have `match` bytes; a null doc_id comes first; an empty table gives no
 rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,14 +49,29 @@ from pyspark.sql import functions as F
 from . import shared
 from .minhash import _blocks, _mix
 
-MATCH = 100
-GRAM = 36
-#: Strings that start in one piece of a text; longer texts are hashed piece by piece.
-PIECE = 1 << 17
-#: Starts of strings in a band of a context.
-BAND = 16
-#: Bytes of one index, but for a key that has more.
-INDEX_BYTES = 1 << 20
+@dataclasses.dataclass(frozen=True)
+class Sizes:
+    """All lengths; tasks get them by value."""
+
+    #: Bytes of a string that must come again, and of the anchor in it.
+    match: int = 100
+    gram: int = 36
+    #: Strings that start in one piece of a text; longer texts are hashed piece by piece.
+    piece: int = 1 << 17
+    #: Starts of strings in a band of a context, and in one of an anchor that has more than `hot` contexts.
+    band: int = 16
+    hot_band: int = 4
+    hot: int = 4096
+    #: Bytes of bands in one index, but for a key that has more.
+    index_bytes: int = 1 << 20
+    #: Bytes of a shard whose first contexts are in one index.
+    portion: int = 1 << 21
+    #: Starts in a stretch that is streamed, and bytes that are streamed at a time.
+    stretch: int = 1 << 10
+    stream_bytes: int = 1 << 22
+
+
+SIZES = Sizes()
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,51 +114,69 @@ class RunIndex:
         run = np.searchsorted(self.run_start, row, "right") - 1
         return self.run_to[run] + row - self.run_start[run]
 
-    def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(strings, places in them) that have a match of `depth` symbols before them. All strings are streamed at once."""
-        alive = np.arange(len(self.lengths))
-        row = alive.copy()  # the row of the end mark of string k is k
-        for step in range(1, int(self.lengths.max(initial=0)) + 1):
-            row = self.back(row)
-            keep = self.lengths[alive] >= step
-            alive, row = alive[keep], row[keep]
-            if step >= self.depth:
-                first = self.earliest[np.searchsorted(self.class_start, row, "right") - 1]
-                hit = first < self.begin[alive] + self.lengths[alive] - step
-                if hit.any():
-                    yield alive[hit], self.lengths[alive[hit]] - step
-
-    def matching_statistics(self, pattern: bytes) -> list[tuple[int, int]]:
-        """For each place of a foreign text its longest match in the strings, and where one such match starts."""
-        out, n = [], len(self.lengths)
-        row, at, length = 0, int(self.ends[0]), 0  # the suffix at `at` has this row and begins with the last `length` symbols
-        for k in range(len(pattern) - 1, -1, -1):
-            c = pattern[k] + n
-            run = int(np.searchsorted(self.run_start, row, "right")) - 1
-            if self.run_head[run] != c:
-                same = np.flatnonzero(self.run_head == c)
-                if not len(same):
-                    row, at, length = 0, int(self.ends[0]), 0
-                    out.append((0, -1))
-                    continue
-                i = int(np.searchsorted(same, run))
-                ways = []
-                if i:
-                    r = same[i - 1]
-                    ways.append((self._common(int(self.sample_end[r]), pattern, k + 1, length), int(self.run_end[r]), int(self.sample_end[r])))
-                if i < len(same):
-                    r = same[i]
-                    ways.append((self._common(int(self.sample_start[r]), pattern, k + 1, length), int(self.run_start[r]), int(self.sample_start[r])))
-                length, row, at = max(ways, key=lambda w: w[0])
-            row, at, length = int(self.back(np.array([row]))[0]), at - 1, length + 1
-            out.append((length, at))
-        return out[::-1]
-
-    def _common(self, place: int, pattern: bytes, k: int, most: int) -> int:
-        n, j = len(self.lengths), 0
-        while j < most and place + j < len(self.text) and self.text[place + j] == pattern[k + j] + n:
-            j += 1
-        return j
+    def statistics(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of patterns (`sizes` bytes of `body` from `starts`), all at once from their ends.
+
+        For each step the patterns' numbers, the place in them, the length of the longest match there, `depth` at most, and
+        a row that has such a match. A row whose run does not go on with the pattern's symbol gives way to the
+        nearest one above or below that does, by the samples at its run's end: whichever has more in common.
+        """
+        n, runs, depth = len(self.lengths), len(self.run_head), self.depth
+        if not hasattr(self, "by_head"):
+            self.by_head = np.argsort(self.run_head, kind="stable")
+            self.head_keys = self.run_head[self.by_head].astype(np.int64) * runs + self.by_head
+        order = np.argsort(-sizes, kind="stable")
+        ends, left = (starts + sizes)[order], sizes[order]
+        row, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        active = len(order)
+        for step in range(1, int(sizes.max(initial=0)) + 1):
+            while active and left[active - 1] < step:
+                active -= 1
+            row, length = row[:active], length[:active]
+            at = ends[:active] - step
+            c = body[at].astype(np.int64) + n
+            run = np.searchsorted(self.run_start, row, "right") - 1
+            off = np.flatnonzero(self.run_head[run] != c)
+            if len(off):
+                asked, known = c[off], length[off]
+                q = np.searchsorted(self.head_keys, asked * runs + run[off])
+                up, down = np.maximum(q - 1, 0), np.minimum(q, runs - 1)
+                has_up, has_down = (q > 0) & (self.head_keys[up] // runs == asked), (q < runs) & (self.head_keys[down] // runs == asked)
+                up, down = self.by_head[up], self.by_head[down]
+                above = np.where(has_up, self._common(self.sample_end[up], body, at[off] + 1, known), -1)
+                below = np.where(has_down, self._common(self.sample_start[down], body, at[off] + 1, known), -1)
+                run[off] = np.where(above >= below, up, down)
+                row[off] = np.where(above >= below, self.run_end[up], self.run_start[down])
+                length[off] = np.maximum(above, below)  # -1: no run has the symbol, and any row will do
+            row = self.run_to[run] + row - self.run_start[run]
+            length = np.minimum(length + 1, depth)
+            yield order[:active], left[:active] - step, length, row
+
+    def earlier(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(patterns, places in them, earliest place in the corpus) of all matches of `depth` symbols."""
+        out = []
+        for which, at, length, row in self.statistics(body, starts, sizes):
+            hit = length >= self.depth
+            if hit.any():
+                out.append((which[hit], at[hit], self.earliest[np.searchsorted(self.class_start, row[hit], "right") - 1]))
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _common(self, place: np.ndarray, body: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols the suffixes at `place` share with `body` from `at` on, `most` at most."""
+        out, n, step = np.zeros(len(place), np.int64), len(self.lengths), 16
+        going = np.flatnonzero(most > 0)
+        while len(going):
+            j = out[going, None] + np.arange(step)
+            x, y = place[going, None] + j, at[going, None] + j
+            same = (j < most[going, None]) & (x < len(self.text))
+            same &= self.text[np.minimum(x, len(self.text) - 1)] == body[np.minimum(y, len(body) - 1)].astype(np.int32) + n
+            stop = ~same
+            got = np.where(stop.any(axis=1), stop.argmax(axis=1), step)
+            out[going] += got
+            going = going[got == step]
+        return out
 
 
 def _sorted_suffixes(text: np.ndarray, longest: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,19 +255,19 @@ def _slide(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
 class Anchors:
     """Of a shard: text number, place, hash of the anchor, hash of its context, and the bytes to its left and right."""
 
-    def __init__(self, texts: list[bytes], match: int = MATCH, gram: int = GRAM):
-        self.reach = match - gram  # bytes of a context to the left; to the right there are `match`
-        self.match, self.gram = match, gram
+    def __init__(self, texts: list[bytes], sizes: Sizes = SIZES):
+        self.sizes, self.match, self.gram = sizes, sizes.match, sizes.gram
+        self.reach, match, piece = self.match - self.gram, self.match, sizes.piece  # a context has `reach` bytes to the left, `match` to the right
         parts, block, size, twice = [], [], 0, False
         for k, raw in enumerate(texts):
             starts = len(raw) - match + 1
-            for a in range(0, max(0, starts), PIECE):
-                b = min(starts, a + PIECE)
+            for a in range(0, max(0, starts), piece):
+                b = min(starts, a + piece)
                 lo, hi = max(0, a - self.reach), min(len(raw), b + match + self.reach)
                 block.append((k, lo, raw[lo:hi], a - lo, b - lo, len(raw)))
                 size += hi - lo
                 twice |= b < starts
-                if size >= PIECE:
+                if size >= piece:
                     parts.append(self._block(block))
                     block, size = [], 0
         if block:
@@ -238,10 +277,14 @@ class Anchors:
             keep = np.unique(np.stack(columns[:2]), axis=1, return_index=True)[1]
             columns = [c[keep] for c in columns]
         self.text, self.place, self.hash, self.context, self.left, self.right = columns
+        before = np.cumsum([0, *map(len, texts)])
+        self.portion = (before[self.text] + self.place) // sizes.portion
         self.order = np.lexsort((self.place, self.text, self.context, self.hash))
         h, c = self.hash[self.order], self.context[self.order]
         self.new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, bool)
         self.first = self.order[self.new]  # of each distinct (anchor, context) its first place, sorted by hash
+        self.entry = np.cumsum(self.new) - 1  # of each place in `order`
+        self.several = np.bincount(self.entry, minlength=len(self.first)) > 1
 
     def _block(self, block: list[tuple]) -> list[np.ndarray]:
         raw = np.frombuffer(b"".join(x[2] for x in block), np.uint8)
@@ -304,133 +347,288 @@ def read_shard(folder: str, name: str) -> tuple[list, list[bytes]]:
     return table.column(0).to_pylist(), table.column(1).to_pylist()
 
 
-NOTHING, EARLIER, ASKED = 0, 1, 2
+#: What a shard is told of a context that it has first: it comes again; its anchor has others; its anchor has very many.
+AGAIN, ASKED, MANY = 1, 2, 4
 
 
-def answers(spark: SparkSession, folder: str, names: list[str], match: int, gram: int) -> DataFrame:
-    """(shard, bucket, codes): a code for each distinct (anchor, context) that the shard sent to the bucket."""
+def answers(spark: SparkSession, folder: str, names: list[str], sizes: Sizes) -> DataFrame:
+    """(shard, bucket, codes, targets): for each distinct (anchor, context) that the shard sent to the bucket.
+
+    The target is the shard and portion that has the context first, -1 if it is this shard, which gets a code then.
+    """
     n = len(names)
-    sent = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("entries", pa.binary())])
-    told = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary())])
+    sent = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("entries", pa.binary()), ("portions", pa.binary())])
+    told = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary()), ("targets", pa.binary())])
 
     def send(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for shard in part.column(0).to_pylist():
-                found = Anchors(read_shard(folder, names[shard])[1], match, gram)
+                found = Anchors(read_shard(folder, names[shard])[1], sizes)
                 borders = found.buckets(n)
                 pairs = np.stack([found.hash[found.first], found.context[found.first]])
-                yield shared._batch([(b, shard, pairs[:, borders[b] : borders[b + 1]].tobytes()) for b in range(n)], sent)
+                portions = found.portion[found.first].astype("<i4")
+                spans = [(b, borders[b], borders[b + 1]) for b in range(n) if borders[b] < borders[b + 1]]
+                yield from shared.batches(((b, shard, pairs[:, x:y].tobytes(), portions[x:y].tobytes()) for b, x, y in spans), sent, 64)
 
     def answer(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
             block = block.sort_by("shard")
-            shards, bucket = block.column("shard").to_pylist(), block.column("bucket")[0].as_py()
+            shards, bucket = block.column("shard").to_numpy(), block.column("bucket")[0].as_py()
             each = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in block.column("entries").to_pylist()]
-            sizes = [x.shape[1] for x in each]
-            (hashed, context) = np.concatenate(each, axis=1)
+            portion = np.frombuffer(b"".join(block.column("portions").to_pylist()), "<i4")
+            counts = [x.shape[1] for x in each]
+            (hashed, context), shard = np.concatenate(each, axis=1), np.repeat(shards, counts)
             order = np.lexsort((np.arange(len(hashed)), context, hashed))  # places follow the shards' order
             h, c = hashed[order], context[order]
-            new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else new_h
-            codes = np.empty(len(h), np.uint8)
-            if len(h):
-                group = np.cumsum(new_h) - 1
-                several = np.bincount(group, weights=new)[group] > 1
-                codes[order] = np.where(new, np.where(several, ASKED, NOTHING), EARLIER)
-            yield shared._batch([(s, bucket, x.tobytes()) for s, x in zip(shards, np.split(codes, np.cumsum(sizes)[:-1]), strict=True)], told)
-
-    rows = spark.range(0, n, 1, max(1, n)).mapInArrow(send, "bucket int, shard int, entries binary")
+            new_h = np.concatenate([[True], h[1:] != h[:-1]])
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            contexts = np.bincount(np.cumsum(new_h) - 1, weights=new)[np.cumsum(new_h) - 1]
+            entry = np.cumsum(new) - 1
+            again = np.bincount(entry)[entry] > 1
+            codes, targets = np.empty(len(h), np.uint8), np.empty((len(h), 2), "<i4")
+            codes[order] = np.where(new, AGAIN * again + ASKED * (contexts > 1) + MANY * (contexts > sizes.hot), 0)
+            first = order[new][entry]
+            targets[order] = np.where(new[:, None], -1, np.stack([shard[first], portion[first]], axis=1))
+            ends = np.cumsum(counts)[:-1]
+            yield shared._batch([(s, bucket, x.tobytes(), y.tobytes()) for s, x, y in zip(shards.tolist(), np.split(codes, ends), np.split(targets, ends), strict=True)], told)
+
+    rows = spark.range(0, n, 1, max(1, n)).mapInArrow(send, "bucket int, shard int, entries binary, portions binary")
     dealt = rows.repartition(shared.partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return shared.written(dealt.mapInArrow(answer, "shard int, bucket int, codes binary"), folder, "answers")
+    return shared.written(dealt.mapInArrow(answer, "shard int, bucket int, codes binary, targets binary"), folder, "answers", compression="zstd")
 
 
-def _by_shard(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange(shared.partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", "bucket")
+def _by_shard(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartitionByRange(shared.partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", *order)
 
 
-def bands(left: int, right: int, match: int, reach: int) -> list[tuple[int, int, int]]:
+def bands(left: int, right: int, match: int, reach: int, width: int) -> list[tuple[int, int, int]]:
     """(bytes before the anchor: of the key, at least, at most) of the strings of each band."""
     out = []
-    for first in range(0, reach + 1, BAND):
-        low, high = max(first, match - right), min(first + BAND - 1, left)
+    for first in range(0, reach + 1, width):
+        low, high = max(first, match - right), min(first + width - 1, left)
         if low <= high:
             out.append((first, low, high))
     return out
 
 
-def marks(answered: DataFrame, folder: str, names: list[str], match: int, gram: int) -> DataFrame:
-    """(shard, bucket, spans): text number, first byte and end of what goes, as 32-bit integers."""
-    sent = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("head", pa.binary()), ("body", pa.binary())])
-    told = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("spans", pa.binary())])
-    n, shared_bytes = len(names), match - BAND + 1
+def joined(text: np.ndarray, a: np.ndarray, b: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, a, b, target) of spans joined where they overlap and have one target."""
+    order = np.lexsort((a, text, target))
+    text, a, b, target = text[order], a[order], b[order], target[order]
+    if not len(text):
+        return
+    far = np.concatenate([[0], b[:-1]])
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (target[1:] != target[:-1]) | (a[1:] > far[1:])])
+    heads = np.flatnonzero(new)
+    yield from zip(text[heads].tolist(), a[heads].tolist(), np.maximum.reduceat(b, heads).tolist(), target[heads].tolist(), strict=True)
+
+
+COPIES, BANDS = 0, 1
+FIRST, LATER = 0, 1
+SENT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("role", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("head", pa.binary()), ("places", pa.binary()), ("body", pa.binary())])
+SENT_DDL = "kind int, key long, role int, shard int, keys binary, head binary, places binary, body binary"
+
+
+class Parcel:
+    """Distinct strings for one key, each with its places (text, start) in the shard, the first one first."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.places: list[list[tuple[int, int]]] = []
+        self.keys: list[tuple[int, int]] = []
+        self.size = 0
+
+    def add(self, string: bytes, text: int, start: int, key: int | None = None) -> None:
+        k = self.known.setdefault(string if key is None else (key, string), len(self.known))
+        if k == len(self.places):
+            self.places.append([])
+            self.size += len(string)
+            if key is not None:
+                self.keys.append((key, xxhash.xxh3_64_intdigest(string)))
+        self.places[k].append((text, start))
+
+    def row(self, kind: int, key: int, role: int, shard: int) -> tuple:
+        strings = [x if isinstance(x, bytes) else x[1] for x in self.known]
+        head = np.array([(len(s), len(p)) for s, p in zip(strings, self.places, strict=True)], "<i4")
+        places = np.array([x for p in self.places for x in sorted(p)], "<i4")
+        return kind, key, role, shard, np.array(self.keys, np.uint64).tobytes(), head.tobytes(), places.tobytes(), b"".join(strings)
+
+
+def parcels(found: Anchors, texts: list[bytes], codes: np.ndarray, targets: np.ndarray, shard: int, n: int) -> Iterator[tuple]:
+    """What a shard sends: first contexts that come again, stretches that come later, bands of anchors with several contexts."""
+    sizes, mine = found.sizes, targets[found.entry, 0] < 0
+    portion = found.portion[found.first]
+    span = lambda at: (found.text[at], found.place[at] - found.left[at], found.place[at] + found.right[at])
+
+    first = found.first[(targets[:, 0] < 0) & ((codes & AGAIN > 0) | found.several)]
+    held, now = Parcel(), -1
+    for t, a, b, target in joined(*span(first), found.portion[first]):
+        if target != now and held.size:
+            yield held.row(COPIES, (shard << 32) + now, FIRST, shard)
+            held = Parcel()
+        now = target
+        held.add(texts[t][a:b], t, a)
+    if held.size:
+        yield held.row(COPIES, (shard << 32) + now, FIRST, shard)
+
+    # places of a context that another shard has first, and all but the first of one that this shard has first
+    own = (np.int64(shard) << 32) + portion
+    to = np.where(mine, own[found.entry], (targets[found.entry, 0].astype(np.int64) << 32) + targets[found.entry, 1])
+    later = ~mine | ~found.new
+    at = found.order[later]
+    held, now = Parcel(), -1
+    for t, a, b, target in joined(*span(at), to[later]):
+        raw = texts[t]
+        for x in range(a, max(a + 1, b - found.match + 1), sizes.stretch):
+            if held.size and (target != now or held.size > sizes.stream_bytes // 16):
+                yield held.row(COPIES, now, LATER, shard)
+                held = Parcel()
+            now = target
+            held.add(raw[x : min(b, x + sizes.stretch + found.match - 1)], t, x)
+    if held.size:
+        yield held.row(COPIES, now, LATER, shard)
+
+    held_by: dict[int, Parcel] = {}
+    asked = (codes & ASKED > 0) & (targets[:, 0] < 0)
+    at, many = found.first[asked], (codes[asked] & MANY > 0).tolist()
+    for t, p, a, b, hot in zip(found.text[at].tolist(), found.place[at].tolist(), found.left[at].tolist(), found.right[at].tolist(), many, strict=True):
+        raw, width = texts[t], sizes.hot_band if hot else sizes.band
+        for start, low, high in bands(a, b, found.match, found.reach, width):
+            key = xxhash.xxh3_64_intdigest(raw[p - start : p - start + found.match - width + 1], start)
+            bucket = (key >> 32) * n >> 32
+            held_by.setdefault(bucket, Parcel()).add(raw[p - high : p - low + found.match], t, p - high, key)
+    for bucket in sorted(held_by):
+        yield held_by.pop(bucket).row(BANDS, bucket, FIRST, shard)
+
+
+class Strings:
+    """Strings of parcels, one after another, with their shards and places."""
+
+    def __init__(self, table: pa.Table):
+        self.body = np.frombuffer(_joint(table.column("body")), np.uint8)
+        head = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in table.column("head").to_pylist()]
+        self.shard = np.repeat(table.column("shard").to_numpy().astype(np.int64), [len(x) for x in head])
+        self.size, self.n_places = np.concatenate(head).T.astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.text, self.at = np.frombuffer(b"".join(table.column("places").to_pylist()), "<i4").reshape(-1, 2).T.astype(np.int64)
+        self.first = np.cumsum(self.n_places) - self.n_places  # of each string its first place
+
+    def of(self, k: int) -> bytes:
+        return self.body[self.start[k] : self.start[k] + self.size[k]].tobytes()
+
+    def marked(self, index: RunIndex, some: np.ndarray, places: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """(shard, text, first byte, end) of what the index has earlier. `places` are those of the corpus; without them all is earlier.
+
+        Matches of neighbouring places that come from neighbouring places are one run, and a run goes at each place of its
+        string that lies behind its source.
+        """
+        which, off, early = index.earlier(self.body, self.start[some], self.size[some])
+        if not len(which):
+            return tuple(np.empty(0, np.int64) for _ in range(4))
+        order = np.lexsort((off, which))
+        which, off, shift = which[order], off[order], (early - off)[order]
+        new = np.concatenate([[True], (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1) | (shift[1:] != shift[:-1])])
+        heads = np.flatnonzero(new)
+        last = off[np.concatenate([heads[1:], [len(off)]]) - 1]
+        string, off, shift = some[which[heads]], off[heads], shift[heads]
+        times = self.n_places[string]
+        run = np.repeat(np.arange(len(string)), times)
+        place = np.repeat(self.first[string], times) + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+        if places is not None:
+            good = shift[run] < places[place]
+            run, place = run[good], place[good]
+        return self.shard[string[run]], self.text[place], self.at[place] + off[run], self.at[place] + last[run] + index.depth
+
+
+def marks(answered: DataFrame, folder: str, names: list[str], sizes: Sizes) -> DataFrame:
+    """(shard, spans): text number, first byte and end of what goes, as 32-bit integers."""
+    told = pa.schema([("shard", pa.int32()), ("spans", pa.binary())])
+    n = len(names)
 
     def send(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
             shard = block.column("shard")[0].as_py()
             texts = read_shard(folder, names[shard])[1]
-            found = Anchors(texts, match, gram)
-            codes, borders = np.zeros(len(found.first), np.uint8), found.buckets(n)
-            for bucket, blob in zip(block.column("bucket").to_pylist(), block.column("codes").to_pylist(), strict=True):
+            found = Anchors(texts, sizes)
+            codes, targets, borders = np.zeros(len(found.first), np.uint8), np.empty((len(found.first), 2), "<i4"), found.buckets(n)
+            for bucket, blob, to in zip(*(block.column(c).to_pylist() for c in ("bucket", "codes", "targets")), strict=True):
                 codes[borders[bucket] : borders[bucket + 1]] = np.frombuffer(blob, np.uint8)
-            at = found.first[codes == ASKED]
-            keys, heads, bodies = [], [], []
-            for t, p, a, b in zip(found.text[at].tolist(), found.place[at].tolist(), found.left[at].tolist(), found.right[at].tolist(), strict=True):
-                raw = texts[t]
-                for first, low, high in bands(a, b, match, match - gram):
-                    band = raw[p - high : p - low + match]
-                    keys.append((xxhash.xxh3_64_intdigest(raw[p - first : p - first + shared_bytes], first), xxhash.xxh3_64_intdigest(band)))
-                    heads.append((t, p - high, match + high - low))
-                    bodies.append(band)
-            keys, heads = np.array(keys, np.uint64).reshape(-1, 2), np.array(heads, "<i4").reshape(-1, 3)
-            to = ((keys[:, 0] >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            order = np.argsort(to, kind="stable")
-            border = np.searchsorted(to[order], np.arange(n + 1)).tolist()
-            groups = ((k, order[border[k] : border[k + 1]]) for k in range(n) if border[k] < border[k + 1])
-            yield from shared.batches(((k, shard, keys[g].tobytes(), heads[g].tobytes(), b"".join(bodies[i] for i in g.tolist())) for k, g in groups), sent, 64)
+                targets[borders[bucket] : borders[bucket + 1]] = np.frombuffer(to, "<i4").reshape(-1, 2)
+            yield from shared.batches(parcels(found, texts, codes, targets, shard, n), SENT, 16)
 
     def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(parts, 1):
-            each = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in block.column("keys").to_pylist()]
-            shard = np.repeat(block.column("shard").to_numpy(), [len(x) for x in each])
-            key, whole = np.concatenate(each).T
-            text, start, size = np.frombuffer(b"".join(block.column("head").to_pylist()), "<i4").reshape(-1, 3).T.astype(np.int64)
-            body, bucket = _joint(block.column("body")), block.column("bucket")[0].as_py()
-            offset = np.cumsum(size) - size
-            order = np.lexsort((start, text, shard, whole, key))  # the order of the corpus comes last
-            rank = np.stack([key, whole, start.view(np.uint64), text.view(np.uint64), shard.astype(np.uint64)])[:, order]
-            other = np.concatenate([[True], (rank[:, 1:] != rank[:, :-1]).any(axis=0)])
-            order = order[other]  # anchors of equal hash may send one band more than once
-            k, w = key[order], whole[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])
-            rows: dict[int, list[np.ndarray]] = {}
-
-            def tell(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
-                for s in np.unique(shard[at]).tolist():
-                    mine = shard[at] == s
-                    rows.setdefault(s, []).append(np.stack([text[at][mine], first[mine], end[mine]]))
-
-            equal, order = order[~new], order[new]
-            tell(equal, start[equal], start[equal] + size[equal])
-            k = key[order]
-            group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
-            order = order[np.bincount(group)[group] > 1]  # a key with one band has nothing to match
-            for some in _portions(order, key, size):
-                some = some[np.lexsort((start[some], text[some], shard[some]))]  # the order of the corpus
-                of = np.stack([shard[some], text[some]])
-                number = np.cumsum(np.concatenate([[0], (of[:, 1:] != of[:, :-1]).any(axis=0)]))
-                index = RunIndex([bytes(body[offset[k] : offset[k] + size[k]]) for k in some], match, (number << 40) + start[some])
-                got = list(index.repeated())
-                if got:
-                    at = some[np.concatenate([x for x, _ in got])]
-                    first = start[at] + np.concatenate([x for _, x in got])
-                    tell(at, first, first + match)
-            out = [(s, bucket, np.stack(_joined(np.concatenate(spans, axis=1))).astype("<i4").tobytes()) for s, spans in sorted(rows.items())]
-            yield from shared.batches(out, told, 64)
+        for kind, group in _runs(parts):
+            for spans in marked_copies(group, sizes) if kind == COPIES else marked_bands(group, sizes):
+                yield from shared.batches(_by_shards(*spans), told, 64)
 
     parts = shared.partitions(answered.sparkSession)
-    rows = _by_shard(answered).mapInArrow(send, "bucket int, shard int, keys binary, head binary, body binary")
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return shared.written(dealt.mapInArrow(mark, "shard int, bucket int, spans binary"), folder, "marks")
+    rows = _by_shard(answered, "bucket").mapInArrow(send, SENT_DDL)
+    dealt = rows.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key", "role", "shard")
+    return shared.written(dealt.mapInArrow(mark, "shard int, spans binary"), folder, "marks", compression="zstd")
+
+
+def _runs(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.Table]]]:
+    """Rows one by one, grouped by kind and key."""
+    rows = ((t["kind"][0].as_py(), t["key"][0].as_py(), t) for part in parts for k in range(part.num_rows) if (t := pa.Table.from_batches([part.slice(k, 1)])))
+    for (kind, _), group in itertools.groupby(rows, lambda r: r[:2]):
+        yield kind, (t for _, _, t in group)
+
+
+def _by_shards(shard: np.ndarray, *span: np.ndarray) -> Iterator[tuple]:
+    order = np.argsort(shard, kind="stable")
+    shard, spans = shard[order], np.stack(span)[:, order]
+    for part, s in zip(np.split(spans, np.flatnonzero(shard[1:] != shard[:-1]) + 1, axis=1), np.unique(shard).tolist(), strict=True):
+        yield s, np.stack(_joined(part)).astype("<i4").tobytes()
+
+
+def marked_copies(group: Iterable[pa.Table], sizes: Sizes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of all shards against the first contexts of one portion, which come before them in `group`."""
+    first, later, size, index = [], [], 0, None
+
+    def streamed() -> Iterator[tuple[np.ndarray, ...]]:
+        strings = Strings(pa.concat_tables(later))
+        # stretches of later shards lie behind all of the portion
+        place = np.where(np.repeat(strings.shard, strings.n_places) > shard, np.int64(1) << 62, (strings.text << 40) + strings.at)
+        got = strings.marked(index, np.arange(len(strings.size)), place)
+        if len(got[0]):
+            yield got
+
+    for row in group:
+        if row["role"][0].as_py() == FIRST:
+            first.append(row)
+            continue
+        if index is None:
+            strings = Strings(pa.concat_tables(first))
+            shard = int(strings.shard[0])
+            index = RunIndex([strings.of(k) for k in range(len(strings.size))], sizes.match, (strings.text[strings.first] << 40) + strings.at[strings.first])
+        later.append(row)
+        size += len(row["body"][0].as_py())
+        if size >= sizes.stream_bytes:
+            yield from streamed()
+            later, size = [], 0
+    if later:
+        yield from streamed()
+
+
+def marked_bands(group: Iterable[pa.Table], sizes: Sizes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bands of one bucket against those of their key."""
+    table = pa.concat_tables(group)
+    strings = Strings(table)
+    key, whole = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("keys").to_pylist()]).T
+    shard = np.repeat(strings.shard, strings.n_places)
+    text = np.unique(np.stack([shard, strings.text]), axis=1, return_inverse=True)[1].ravel()  # texts in the order of the corpus
+    place = (text.astype(np.int64) << 40) + strings.at
+    order = np.lexsort((place[strings.first], whole, key))
+    k = key[order]
+    of = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+    order = order[np.bincount(of, weights=strings.n_places[order])[of] > 1]  # a key with one place has nothing to match
+    for some in _portions(order, key, strings.size, sizes.index_bytes):
+        distinct = np.concatenate([[True], (key[some][1:] != key[some][:-1]) | (whole[some][1:] != whole[some][:-1])])
+        indexed = some[distinct]
+        index = RunIndex([strings.of(k) for k in indexed], sizes.match, place[strings.first[indexed]])
+        got = strings.marked(index, some, place)
+        if len(got[0]):
+            yield got
 
 
 def _joint(column: pa.ChunkedArray) -> memoryview:
@@ -442,15 +640,15 @@ def _joint(column: pa.ChunkedArray) -> memoryview:
     return pieces[0] if len(pieces) == 1 else memoryview(b"".join(pieces))
 
 
-def _portions(order: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Parts of `order`, which is sorted by key: whole keys, with INDEX_BYTES at least but for the last."""
+def _portions(order: np.ndarray, key: np.ndarray, size: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Parts of `order`, which is sorted by key: whole keys, with `least` bytes but for the last."""
     if not len(order):
         return
     total = np.cumsum(size[order])
     ends = np.concatenate([np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]])
     a = 0
     while a < len(order):
-        want = (total[a - 1] if a else 0) + INDEX_BYTES
+        want = (total[a - 1] if a else 0) + least
         b = int(ends[min(len(ends) - 1, np.searchsorted(total[ends - 1], want))])
         yield order[a:b]
         a = b
@@ -469,30 +667,18 @@ def _joined(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def without_repeats(docs: DataFrame, folder: str, match: int = MATCH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, folder: str, sizes: Sizes = SIZES) -> DataFrame:
     """For each document its bytes, those that go, the stretches they form and the digest of the rest."""
     spark = docs.sparkSession
     names = [r.path for r in sorted(write_shards(docs, folder).collect(), key=lambda r: r.part)]  # a row for each shard
-    answered = answers(spark, folder, names, match, gram)
-    marked = marks(answered, folder, names, match, gram)
+    answered = answers(spark, folder, names, sizes)
+    marked = marks(answered, folder, names, sizes)
 
     def take(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(parts, 1):
             shard = block.column("shard")[0].as_py()
             doc_ids, texts = read_shard(folder, names[shard])
-            found = Anchors(texts, match, gram)
-            borders = found.buckets(len(names))
-            codes, spans = np.zeros(len(found.first), np.uint8), []
-            for bucket, kind, blob in zip(*(block.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
-                if kind == 0:
-                    codes[borders[bucket] : borders[bucket + 1]] = np.frombuffer(blob, np.uint8)
-                else:
-                    spans.append(np.frombuffer(blob, "<i4").reshape(3, -1).astype(np.int64))
-            whole = np.ones(len(found.order), bool)  # later copies in this shard, and all that an earlier shard has
-            whole[found.new] = codes == EARLIER
-            at = found.order[whole]
-            spans.append(np.stack([found.text[at], found.place[at] - found.left[at], found.place[at] + found.right[at]]))
-            text, a, b = np.concatenate(spans, axis=1)
+            text, a, b = np.concatenate([np.frombuffer(x, "<i4").reshape(3, -1).astype(np.int64) for x in block.column("spans").to_pylist()], axis=1)
             order = np.argsort(text, kind="stable")
             text, a, b = text[order], a[order], b[order]
             border = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
@@ -512,7 +698,7 @@ def without_repeats(docs: DataFrame, folder: str, match: int = MATCH, gram: int
 
             yield from shared.batches(rows(), RESULT)
 
-    every = answered.select("shard", "bucket", F.lit(0).alias("kind"), F.col("codes").alias("blob")).unionAll(marked.select("shard", "bucket", F.lit(1).alias("kind"), F.col("spans").alias("blob")))
+    every = marked.unionAll(spark.range(0, len(names), 1, max(1, len(names))).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("spans")))
     return _by_shard(every).mapInArrow(take, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -249,10 +249,9 @@ def plain_repeats(rows, match):
     return sorted(out)
 
 
-def test_long_repeats(spark, table, empty, monkeypatch):
-    monkeypatch.setattr(run_index, "PIECE", 4096)
+def test_long_repeats(spark, table, empty):
     assert run_index.without_repeats(empty, folder(spark)).count() == 0
-    got = run_index.without_repeats(table, folder(spark)).collect()
+    got = run_index.without_repeats(table, folder(spark), run_index.Sizes(piece=4096, portion=1 << 14, stretch=512)).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], *tuple(r)[1:]) for r in got) == plain_repeats(ordered_rows(table), 100)
 
 
@@ -270,10 +269,42 @@ def test_run_index_against_plain_search():
                 if s[p : p + depth] in seen:
                     want.add((i, p))
                 seen.add(s[p : p + depth])
-        assert {(int(i), int(p)) for k, at in index.repeated() for i, p in zip(k, at, strict=True)} == want
+        body = np.frombuffer(b"".join(strings), np.uint8)
+        sizes = np.array([len(x) for x in strings], np.int64)
+        got = zip(*(x.tolist() for x in index.earlier(body, np.cumsum(sizes) - sizes, sizes)), strict=True)
+        assert {(i, p) for i, p, early in got if early < index.begin[i] + p} == want
         pattern = some(8) + b"z" + some(4)
-        for k, (n, _) in enumerate(index.matching_statistics(pattern)):
-            assert n == max(m for m in range(len(pattern) - k + 1) if m == 0 or any(pattern[k : k + m] in s for s in strings))
+        stats = {int(at[0]): int(n[0]) for _, at, n, _ in index.statistics(np.frombuffer(pattern, np.uint8), np.array([0]), np.array([len(pattern)]))}
+        for k in range(len(pattern)):
+            assert stats[k] == min(depth, max(m for m in range(len(pattern) - k + 1) if m == 0 or any(pattern[k : k + m] in s for s in strings)))
+
+
+def test_nothing_goes_without_the_index(spark, table, monkeypatch):
+    """Hashes only say where to look: what goes are the index's matches, and nothing else."""
+    monkeypatch.setattr(run_index, "marks", lambda answered, *_: answered.select("shard", answered["codes"].alias("spans")).limit(0))
+    assert run_index.without_repeats(table, folder(spark)).where("n_removed > 0").count() == 0
+    texts = [t.encode() for _, t in ordered_rows(table)]
+    found = run_index.Anchors(texts)
+    codes = np.full(len(found.first), run_index.AGAIN | run_index.ASKED, np.uint8)
+    rows = [shared._batch([r], run_index.SENT) for r in sorted(run_index.parcels(found, texts, codes, np.full((len(codes), 2), -1, "<i4"), 0, 3), key=lambda r: r[:3])]
+    seen = []
+    monkeypatch.setattr(run_index.RunIndex, "earlier", lambda self, body, starts, sizes: seen.append(len(starts)) or (np.empty(0, np.int64),) * 3)
+    for kind, group in run_index._runs(rows):
+        assert list(run_index.marked_copies(group, run_index.SIZES) if kind == run_index.COPIES else run_index.marked_bands(group, run_index.SIZES)) == []
+    assert sum(seen) > 100
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_a_line_amid_different_words(spark, tmp_path, hot):
+    """Some hundred texts share a line, two lines, or half of one; portions, indexes and stretches are small."""
+    sizes = run_index.Sizes(hot=hot, portion=4096, index_bytes=2048, stretch=64, stream_bytes=4096)
+    line, rows = prose(77, 40), []
+    for k in range(160):
+        middle = line if k % 3 else line[: 60 + k] if k % 2 else line + " and " + line
+        rows.append((k, f"{prose(1000 + k, 8)} {middle} {prose(2000 + k % 7, 12)}"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    got = run_index.without_repeats(spark.read.parquet(f"{tmp_path}/d"), folder(spark), sizes).collect()
+    assert sorted(tuple(r) for r in got) == plain_repeats(rows, 100)
 
 
 # ---- 6
