@@ -1,9 +1,10 @@
 """Exact duplicates by deterministic block naming.
 
-A text without its ASCII white space is cut into blocks of a fixed size. Sorting the distinct blocks gives each an
-integer name; then the names of adjacent blocks are paired, the distinct pairs sorted and named in their turn, and
-so on until each document has one name. Names are given to distinct contents, never to digests alone: blocks travel
-by digest, but a digest that two contents share stops the run.
+A text without its ASCII white space is cut into blocks of a fixed size. The distinct blocks are sorted by their bytes,
+over all partitions, and each gets an integer name by its place; then the names of adjacent blocks are paired, the
+distinct pairs sorted and named in their turn, and so on until each document has one name. A block finds its name by its
+digest; where two blocks share a digest, which is looked for, those that do find theirs by their bytes. So equal names
+mean equal bytes, whatever the digest.
 
 Edge cases: a null text is an empty one, and all empty texts are equal; of repeated rows of one doc_id one stays;
 a null doc_id is larger than all others when rows tie; an empty table gives no rows; other columns are not read.
@@ -11,12 +12,16 @@ a null doc_id is larger than all others when rows tie; an empty table gives no r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK_BYTES = 1 << 14
+BLOCK_BYTES = 1 << 10
+#: Stands beside the last block of an odd number; no name is as low.
+ALONE = -(1 << 63)
 #: Characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -27,12 +32,17 @@ def without_blanks(text: Column) -> Column:
     return text
 
 
-def _named(distinct: DataFrame, keys: list[str], n: int, folder: str, name: str) -> DataFrame:
+def _named(distinct: DataFrame, keys: list[str], n: int, folder: str, name: str, *columns: Column) -> DataFrame:
     """Integer names in the order of the keys: sorted over all partitions, written once so that they stay."""
-    return shared.written(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), folder, name)
+    ordered = distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return shared.written(ordered.select(*columns, F.monotonically_increasing_id().alias("name")), folder, name)
+
+
+def sha256(block: Column) -> Column:
+    return F.unhex(F.sha2(block, 256))
 
 
-def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, *, address: str | None = None) -> DataFrame:
+def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, digest: Callable[[Column], Column] = sha256, *, address: str | None = None) -> DataFrame:
     """_row, doc_id, n_chars, text_sha256, n_blocks and name: two texts are equal if n_blocks and name are.
 
     `_row` is the column `address` of `docs`; without one, rows are numbered here, by the one scan that needs it.
@@ -42,17 +52,24 @@ def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, *,
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     texts = docs.select(F.col(address).alias("_row"), *columns) if address else shared.with_row_address(docs.select(*columns))
     texts = texts.select("_row", "doc_id", F.length("text").alias("n_chars"), F.encode(without_blanks(F.col("text")), "UTF-8").alias("body"))
-    texts = texts.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.length("body") / block_bytes)).cast("int"))
-    block = F.substring("body", F.col("at") * block_bytes + 1, F.lit(block_bytes))
-    cut = texts.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("block", F.when(F.col("n_blocks") == 1, F.col("body")).otherwise(block))
-    whole = F.when(F.col("at") == 0, F.sha2("body", 256))
-    digest = F.when(F.col("n_blocks") == 1, whole).otherwise(F.sha2("block", 256))
-    at = shared.written(cut.select("_row", "doc_id", "n_chars", "n_blocks", "at", whole.alias("text_sha256"), F.unhex(digest).alias("key")), folder, "blocks")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.length("body") / block_bytes)).cast("int")
+    block = lambda i: F.substring(F.col("body"), i * block_bytes + 1, F.lit(block_bytes))
+    each = F.posexplode(F.transform(F.sequence(F.lit(0), n_blocks - 1), block)).alias("at", "block")
+    cut = texts.select("_row", "doc_id", "n_chars", n_blocks.alias("n_blocks"), F.unhex(F.sha2("body", 256)).alias("whole"), each)
+    whole = F.when(F.col("at") == 0, F.lower(F.hex("whole")))
+    key = F.when(F.col("n_blocks") == 1, F.col("whole")).otherwise(digest(F.col("block"))) if digest is sha256 else digest(F.col("block"))
+    at = shared.written(cut.select("_row", "doc_id", "n_chars", "n_blocks", "at", whole.alias("text_sha256"), key.alias("key")), folder, "blocks", compression="zstd")
 
     # one content for each digest goes over the network from each task, whatever the number of its copies
-    contents = cut.select(F.unhex(digest).alias("key"), "block").groupBy("key").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    distinct = contents.select(F.when(F.col("lo") == F.col("hi"), F.col("key")).otherwise(F.raise_error(F.lit("two blocks have one digest"))).alias("key"))
-    level = at.join(_named(distinct, ["key"], n, folder, "names-0"), "key").select("_row", "n_blocks", "at", "name")
+    contents = cut.select(key.alias("key"), "block").groupBy("key").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    names = _named(contents, ["lo"], n, folder, "names-0", F.col("key"), (F.col("lo") != F.col("hi")).alias("twins"))
+    columns = ["_row", "n_blocks", "at", "name"]
+    level = at.join(names.where("not twins").select("key", "name"), "key").select(columns)
+    twins = names.where("twins").select("key")
+    if not twins.isEmpty():
+        shared_digest = shared.written(cut.select("_row", "n_blocks", "at", "block", key.alias("key")).join(twins, "key", "left_semi"), folder, "twins")
+        told = _named(shared_digest.select("block").distinct(), ["block"], n, folder, "twin-names", F.col("block"))
+        level = level.unionAll(shared_digest.join(told, "block").select("_row", "n_blocks", "at", (-1 - F.col("name")).alias("name")))
     level = shared.written(level, folder, "level-0")
     done, k = level.where("n_blocks = 1").select("_row", "name"), 0
     todo = level.where("n_blocks > 1")
@@ -61,9 +78,9 @@ def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, *,
         k += 1
         blocks = (blocks + 1) // 2
         side = lambda odd: F.max(F.when(F.col("at") % 2 == odd, F.col("name")))
-        pairs = todo.groupBy("_row", "n_blocks", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(side(0).alias("a"), F.coalesce(side(1), F.lit(-1)).alias("b"))
+        pairs = todo.groupBy("_row", "n_blocks", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(side(0).alias("a"), F.coalesce(side(1), F.lit(ALONE)).alias("b"))
         pairs = shared.written(pairs, folder, f"pairs-{k}")
-        names = _named(pairs.select("a", "b").distinct(), ["a", "b"], n, folder, f"names-{k}")
+        names = _named(pairs.select("a", "b").distinct(), ["a", "b"], n, folder, f"names-{k}", F.col("a"), F.col("b"))
         todo = shared.written(pairs.join(names, ["a", "b"]).select("_row", "n_blocks", "at", "name"), folder, f"level-{k}")
         left = F.ceil(F.col("n_blocks") / (1 << k))
         done = done.unionAll(todo.where((left == 1) & (F.ceil(F.col("n_blocks") / (1 << k - 1)) > 1)).select("_row", "name"))
