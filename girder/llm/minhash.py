@@ -7,9 +7,15 @@
 3. In each block, signatures are compared, and of all pairs that look near a spanning forest of the most alike is
    proposed: at most one pair fewer than the block has members.
 4. Proposed pairs are confirmed on their full sets, and large-star and small-star give components.
-5. Only buckets that hold more than one component are looked at again: all that is not of a bucket's largest component
-   is compared with all of the bucket, block by block on full sets, and only links leave a block. A pair within one
-   component needs no test, as it can change nothing.
+5. Only buckets that hold more than one component are looked at again. In one of `BLOCK` members at most, all that is not
+   of its largest component is compared with all of the bucket on full sets. A pair within one component needs no
+   test, as it can change nothing.
+6. Larger ones, such as those of a passage that very many texts have, are not compared so, as that would grow with the
+   square of their size. Their members' shingles are ranked by the number of sets that have them. A pair that shares a
+   shingle of at most `RARE` sets shares one among the first fifth of both sets (prefix filter); such shingles have
+   few sets, and what they propose is confirmed on full sets. A pair without such a shingle has only common ones in
+   common, so what it shares is told by the sets' common shingles and their sizes alone: members equal in both are one
+   class, and one for each class is compared. Only texts that are four-fifths common shingles come this far.
 
 A pair of similarity 0.8 shares no band with a probability of (1 - 0.8^4)^28, below 10^-6; its signatures look
 further apart than `LOOKS_NEAR` with one below 10^-5.
@@ -38,6 +44,8 @@ HASHES = BANDS * ROWS
 #: Of the 8-bit minima so many must agree before sets are compared: five standard deviations below 0.8.
 LOOKS_NEAR = 68
 BLOCK = 512
+#: A shingle is common if more sets than these have it.
+RARE = 64
 #: Blocks of full sets have so many shingles at most, but for one more set.
 BLOCK_SHINGLES = 1 << 21
 SEED = 0x9E3779B97F4A7C15
@@ -254,6 +262,80 @@ def between(members: DataFrame, near: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def each_shingle(sets: DataFrame) -> DataFrame:
+    """(node, s): a row for each shingle."""
+    schema = pa.schema([("node", pa.int64()), ("s", pa.int64())])
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [unpacked(x).view(np.int64) for x in part.column(1).to_pylist()]
+            nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], schema=schema)
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, s long")
+
+
+def stand_ins(commons: DataFrame) -> DataFrame:
+    """(node, shingles): the common shingles of (node, n, common), and others that no set has, up to n."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = []
+            for node, n, common in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                more = _mix(np.arange(n - len(common), dtype=np.uint64) + np.uint64(node) * np.uint64(SEED))
+                out.append(packed(np.unique(np.concatenate([np.array(common, np.int64).view(np.uint64), more]))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], schema=schema)
+
+    return commons.select("node", "n", "common").mapInArrow(run, "node long, shingles binary")
+
+
+def in_large_buckets(large: DataFrame, sets: DataFrame, near: int, folder: str) -> DataFrame:
+    """Links (a, b) that join the components of (bucket, node, root, n_shingles), without a comparison of all pairs.
+
+    Rows grow with the shingles of the members. A posting has RARE sets at most. The counts of common shingles are summed
+    before they are shuffled; the join by shingle is left to Spark's splitting of skewed joins.
+    """
+    members = shared.written(large.select("node", "root", F.col("n_shingles").alias("n")).distinct(), folder, "large")
+    each = shared.written(each_shingle(sets.join(members.select("node"), "node", "left_semi")), folder, "shingles")
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ranked = each.join(counts.hint("merge"), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("known"))  # a text's own shingles
+    ranked = ranked.join(members, "node")
+    prefix = F.col("n") - F.ceil(F.col("n") * near / 100) + 1 - (F.col("n") - F.size("known"))  # those of one set come first
+    common = F.transform(F.filter("known", lambda x: x["sets"] > RARE), lambda x: x["s"])
+    first = F.filter(F.slice("known", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["sets"] <= RARE)
+    ranked = shared.written(ranked.select("node", "root", "n", F.transform(first, lambda x: x["s"]).alias("first"), common.alias("common")), folder, "ranked")
+
+    posting = ranked.select("node", "root", "n", F.explode("first").alias("s"))
+    other = posting.select(*(F.col(c).alias(f"{c}_2") for c in ("node", "root", "n")), "s")
+    pairs = posting.join(other, "s").where((F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2")) & (100 * F.least("n", "n_2") >= near * F.greatest("n", "n_2")))
+    pairs = shared.written(pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct(), folder, "by-rare")
+    links = shared.written(confirmed(pairs, sets, near), folder, "by-rare-links")
+
+    full = ranked.where(100 * F.size("common") >= near * F.col("n")).withColumn("key", F.sha2(F.array_join(F.col("common").cast("array<string>"), ","), 256))
+    full = full.select("node", "root", "n", "key", "common", (100 * F.size("common") >= near * (2 * F.col("n") - F.size("common"))).alias("tight"))
+    full = shared.written(full, folder, "common")
+    classes = full.groupBy("key", "n").agg(F.min(F.struct("node", "root")).alias("one"), F.first("common").alias("common"), F.first("tight").alias("tight"))
+    classes = shared.written(classes.select("key", "n", F.col("one.node").alias("node"), F.col("one.root").alias("root"), "common", "tight"), folder, "common-classes")
+    named = full.select("node", "key", "n").join(classes.select("key", "n", F.col("node").alias("one"), "tight"), ["key", "n"])
+    # members of a tight class are near each other; of two near members of different classes the smaller one's is tight
+    stars = named.where(F.col("tight") & (F.col("node") != F.col("one"))).select(F.col("one").alias("a"), F.col("node").alias("b"))
+    at = large.select("bucket", "node").join(classes, "node").select("bucket", "node", "tight", F.when(F.col("tight"), F.col("root")).otherwise(-1 - F.col("node")).alias("root"))
+    sizes = at.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.max("tight").alias("any")).where("any")
+    at = at.join(sizes, "bucket")
+    part = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asks = at.withColumn("i", part).withColumn("j", others).withColumn("role", F.lit(0))
+    gives = at.where("tight").withColumn("j", part).withColumn("i", others).withColumn("role", F.lit(1))
+    columns = ["bucket", "i", "j", "role", "node", "root"]
+    found = shared.written(between(asks.select(columns).unionAll(gives.select(columns)).join(stand_ins(classes), "node"), near), folder, "by-common")
+    # what holds for one of a class that is not tight holds for each of its members
+    loose = named.where("not tight").select("one", "node")
+    sides = [found.select(F.col(x).alias("one"), F.col(y).alias("far")) for x, y in (("a", "b"), ("b", "a"))]
+    more = sides[0].unionAll(sides[1]).join(loose, "one").select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b"))
+    return links.unionAll(stars).unionAll(found).unionAll(more)
+
+
 def near_groups(docs: DataFrame, folder: str, width: int = 5, near: int = NEAR) -> DataFrame:
     """One row for each document: _row, doc_id, n_shingles, component_id, and `kept` for one row of each component."""
     rows, name = shared.addressed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), folder)
@@ -284,14 +366,17 @@ def grouped(rows: DataFrame, folder: str, width: int = 5, near: int = NEAR) -> D
     mixed = by_root.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n_root", "root", "s_root")).alias("main"), F.sum("n_root").alias("n"), F.sum("s_root").alias("s")).where("n_roots > 1")
     # the rest of a bucket, in parts i, against all of it, in parts j: no pair within the largest component is made
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
-    mixed = mixed.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("s")).alias("j_parts"), blocks(F.col("n") - F.col("main.n_root"), F.col("s") - F.col("main.s_root")).alias("i_parts"))
-    open_ = shared.written(placed.select("bucket", "node", "root").join(mixed, "bucket"), folder, "open")
+    mixed = mixed.select("bucket", "n", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("s")).alias("j_parts"), blocks(F.col("n") - F.col("main.n_root"), F.col("s") - F.col("main.s_root")).alias("i_parts"))
+    open_ = shared.written(placed.select("bucket", "node", "root", "n_shingles").join(mixed, "bucket"), folder, "open")
     part = lambda parts: F.pmod(F.xxhash64("node", "bucket"), parts).cast("int")
     others = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    asks = open_.where("root <> main").withColumn("i", part(F.col("i_parts"))).withColumn("j", others("j_parts")).withColumn("role", F.lit(0))
-    gives = open_.withColumn("j", part(F.col("j_parts"))).withColumn("i", others("i_parts")).withColumn("role", F.lit(1))
+    small, large = open_.where(F.col("n") <= BLOCK), open_.where(F.col("n") > BLOCK)
+    asks = small.where("root <> main").withColumn("i", part(F.col("i_parts"))).withColumn("j", others("j_parts")).withColumn("role", F.lit(0))
+    gives = small.withColumn("j", part(F.col("j_parts"))).withColumn("i", others("i_parts")).withColumn("role", F.lit(1))
     columns = ["bucket", "i", "j", "role", "node", "root"]
     more = between(asks.select(columns).unionAll(gives.select(columns)).join(sets, "node"), near)
+    if not large.isEmpty():
+        more = more.unionAll(in_large_buckets(large, sets, near, f"{folder}/large"))
     more = shared.written(more, folder, "between")
     if not more.isEmpty():
         links = links.unionAll(more)

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from girder.llm import components, exact_dedup, language_id, minhash, packing, pii, quality, run_index, sentencepieces, shared, token_planes, tokens, warc
 
@@ -288,7 +289,7 @@ def test_nothing_goes_without_the_index(spark, table, monkeypatch):
     codes = np.full(len(found.first), run_index.AGAIN | run_index.ASKED, np.uint8)
     rows = [shared._batch([r], run_index.SENT) for r in sorted(run_index.parcels(found, texts, codes, np.full((len(codes), 2), -1, "<i4"), 0, 3), key=lambda r: r[:3])]
     seen = []
-    monkeypatch.setattr(run_index.RunIndex, "earlier", lambda self, body, starts, sizes: seen.append(len(starts)) or (np.empty(0, np.int64),) * 3)
+    monkeypatch.setattr(run_index.RunIndex, "earlier", lambda self, body, starts, sizes, begin=None: seen.append(len(starts)) or (np.empty(0, np.int64),) * 3)
     for kind, group in run_index._runs(rows):
         assert list(run_index.marked_copies(group, run_index.SIZES) if kind == run_index.COPIES else run_index.marked_bands(group, run_index.SIZES)) == []
     assert sum(seen) > 100
@@ -308,9 +309,14 @@ def test_a_line_amid_different_words(spark, tmp_path, hot):
 
 
 # ---- 6
-@pytest.mark.parametrize("block_bytes", [16, 1 << 14])
-def test_exact_dedup(spark, table, empty, block_bytes, monkeypatch):
-    monkeypatch.setattr(exact_dedup.identities, "__defaults__", (block_bytes,))
+def one_digit(block):
+    return F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(block, 256), 1, 1)))
+
+
+@pytest.mark.parametrize(("block_bytes", "digest"), [(16, exact_dedup.sha256), (16, one_digit), (1 << 10, exact_dedup.sha256), (1 << 14, one_digit)])
+def test_exact_dedup(spark, table, empty, block_bytes, digest, monkeypatch):
+    """Blocks of some sizes; digests of which each is shared by many blocks."""
+    monkeypatch.setattr(exact_dedup.identities, "__defaults__", (block_bytes, digest))
     assert exact_dedup.groups(empty, folder(spark)).count() == 0
     if block_bytes == 16:
         table = table.where("length(coalesce(text, '')) < 6000")
@@ -410,6 +416,23 @@ def test_a_large_family_is_linked_as_all_pairs_would(spark, tmp_path, monkeypatc
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 4, 80)
 
 
+@pytest.mark.parametrize("rare", [2, 64])
+def test_texts_that_share_a_passage_are_linked_as_all_pairs_would(spark, tmp_path, monkeypatch, rare):
+    """A passage with few or many own words around it: links by rare shingles, by size alone, and none."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "RARE", rare)
+    passage, rows = prose(31, 60, [f"p{k}" for k in range(40)]), []
+    for k in range(240):
+        own = [f"w{k}x{j}" for j in range((0, 3, 5, 7, 8, 10, 12, 13, 14, 15, 16, 40)[k % 12])]
+        if k % 24 >= 18:  # some share their own words with the one before
+            own = [f"w{k - 12}x{j}" for j in range(len(own))] + ["more"] * (k % 2)
+        half = len(own) // 2 if k % 5 == 0 else 0
+        rows.append((k, " ".join([*own[:half], passage, *own[half:]])))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    got = minhash.near_groups(spark.read.parquet(f"{tmp_path}/d"), folder(spark), 4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 4, 80)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(500, 499), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), folder(spark)).collect()}
