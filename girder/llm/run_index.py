@@ -67,7 +67,7 @@ class Sizes:
     #: Bytes of a shard whose first contexts are in one index.
     portion: int = 1 << 21
     #: Starts in a stretch that is streamed, and bytes that are streamed at a time.
-    stretch: int = 1 << 10
+    stretch: int = 1 << 9
     stream_bytes: int = 1 << 22
 
 
@@ -109,25 +109,31 @@ class RunIndex:
         places = self.begin[of] + rows - (self.ends - self.lengths)[of]
         self.earliest = np.minimum.reduceat(places, self.class_start) if len(rows) else rows
 
-    def back(self, row: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes one symbol longer."""
-        run = np.searchsorted(self.run_start, row, "right") - 1
-        return self.run_to[run] + row - self.run_start[run]
-
-    def statistics(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def _prepare(self) -> None:
+        """Runs by head, and of each run's samples how far the string goes on."""
+        if hasattr(self, "by_head"):
+            return
+        self.by_head = np.argsort(self.run_head, kind="stable")
+        self.head_keys = self.run_head[self.by_head].astype(np.int64) * len(self.run_head) + self.by_head
+        # directories from rows to runs and classes, in place of searches
+        self.run_of = np.repeat(np.arange(len(self.run_head), dtype=np.int32), self.run_end - self.run_start + 1)
+        self.class_of = np.cumsum(~self.same, dtype=np.int32) - np.int32(1)
+        self.left_end, self.left_start = (self.ends[np.searchsorted(self.ends, x)] - x for x in (self.sample_end, self.sample_start))
+        self.words = _words(np.maximum(self.text - np.int32(len(self.lengths)), 0).astype(np.uint8))
+
+    def statistics(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of patterns (`sizes` bytes of `body` from `starts`), all at once from their ends.
 
         For each step the patterns' numbers, the place in them, the length of the longest match there, `depth` at most, and
         a row that has such a match. A row whose run does not go on with the pattern's symbol gives way to the
-        nearest one above or below that does, by the samples at its run's end: whichever has more in common.
+        nearest one above or below that does, by the samples at its run's end: whichever has more in common. `begin`
+        has for each pattern the string whose end it is compared with first; it says where to look, no more.
         """
-        n, runs, depth = len(self.lengths), len(self.run_head), self.depth
-        if not hasattr(self, "by_head"):
-            self.by_head = np.argsort(self.run_head, kind="stable")
-            self.head_keys = self.run_head[self.by_head].astype(np.int64) * runs + self.by_head
+        self._prepare()
+        n, runs, depth, words = len(self.lengths), len(self.run_head), self.depth, _words(body)
         order = np.argsort(-sizes, kind="stable")
         ends, left = (starts + sizes)[order], sizes[order]
-        row, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        row, length = np.zeros(len(order), np.int64) if begin is None else begin[order], np.zeros(len(order), np.int64)
         active = len(order)
         for step in range(1, int(sizes.max(initial=0)) + 1):
             while active and left[active - 1] < step:
@@ -135,16 +141,21 @@ class RunIndex:
             row, length = row[:active], length[:active]
             at = ends[:active] - step
             c = body[at].astype(np.int64) + n
-            run = np.searchsorted(self.run_start, row, "right") - 1
+            run = self.run_of[row]
             off = np.flatnonzero(self.run_head[run] != c)
             if len(off):
-                asked, known = c[off], length[off]
+                asked, known, mine, after = c[off], length[off], self.class_of[row[off]], at[off] + 1
                 q = np.searchsorted(self.head_keys, asked * runs + run[off])
                 up, down = np.maximum(q - 1, 0), np.minimum(q, runs - 1)
                 has_up, has_down = (q > 0) & (self.head_keys[up] // runs == asked), (q < runs) & (self.head_keys[down] // runs == asked)
                 up, down = self.by_head[up], self.by_head[down]
-                above = np.where(has_up, self._common(self.sample_end[up], body, at[off] + 1, known), -1)
-                below = np.where(has_down, self._common(self.sample_start[down], body, at[off] + 1, known), -1)
+                # a row of the same class has as much in common as counts
+                above = np.where(has_up, np.where((known >= depth) & (self.class_of[self.run_end[up]] == mine), depth, -2), -1)
+                below = np.where(has_down & (above < depth), np.where((known >= depth) & (self.class_of[self.run_start[down]] == mine), depth, -2), -1)
+                look = np.flatnonzero((above == -2) & (below < depth))
+                above[look] = self._common(self.sample_end[up[look]], np.minimum(known, self.left_end[up])[look], words, after[look])
+                look = np.flatnonzero((below == -2) & (above < depth))
+                below[look] = self._common(self.sample_start[down[look]], np.minimum(known, self.left_start[down])[look], words, after[look])
                 run[off] = np.where(above >= below, up, down)
                 row[off] = np.where(above >= below, self.run_end[up], self.run_start[down])
                 length[off] = np.maximum(above, below)  # -1: no run has the symbol, and any row will do
@@ -152,33 +163,39 @@ class RunIndex:
             length = np.minimum(length + 1, depth)
             yield order[:active], left[:active] - step, length, row
 
-    def earlier(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def earlier(self, body: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(patterns, places in them, earliest place in the corpus) of all matches of `depth` symbols."""
         out = []
-        for which, at, length, row in self.statistics(body, starts, sizes):
-            hit = length >= self.depth
-            if hit.any():
-                out.append((which[hit], at[hit], self.earliest[np.searchsorted(self.class_start, row[hit], "right") - 1]))
+        for which, at, length, row in self.statistics(body, starts, sizes, begin):
+            hit = np.flatnonzero(length >= self.depth)
+            if len(hit):
+                out.append((which[hit], at[hit], self.earliest[self.class_of[row[hit]]]))
         if not out:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _common(self, place: np.ndarray, body: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols the suffixes at `place` share with `body` from `at` on, `most` at most."""
-        out, n, step = np.zeros(len(place), np.int64), len(self.lengths), 16
-        going = np.flatnonzero(most > 0)
-        while len(going):
-            j = out[going, None] + np.arange(step)
-            x, y = place[going, None] + j, at[going, None] + j
-            same = (j < most[going, None]) & (x < len(self.text))
-            same &= self.text[np.minimum(x, len(self.text) - 1)] == body[np.minimum(y, len(body) - 1)].astype(np.int32) + n
-            stop = ~same
-            got = np.where(stop.any(axis=1), stop.argmax(axis=1), step)
-            out[going] += got
-            going = going[got == step]
+    def _common(self, place: np.ndarray, most: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many symbols the suffixes at `place` share with the patterns from `at` on, `most` at most. Eight at a time."""
+        out, going = most.copy(), np.flatnonzero(most > 0)
+        for k in range(0, int(most.max(initial=0)), 8):
+            x = self.words[place[going] + k] ^ words[at[going] + k]
+            differ = x != 0
+            low = x[differ]
+            some = going[differ]
+            out[some] = np.minimum(most[some], k + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8)
+            going = going[~differ]
+            going = going[most[going] > k + 8]
+            if not len(going):
+                break
         return out
 
 
+def _words(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer, the first lowest."""
+    padded = np.concatenate([body, np.zeros(16, np.uint8)])
+    return np.ndarray((len(body) + 9,), "<u8", padded, 0, (1,))
+
+
 def _sorted_suffixes(text: np.ndarray, longest: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and whether each agrees with the one before it in `depth` symbols. Prefixes double."""
     n = len(text)
@@ -516,13 +533,13 @@ class Strings:
     def of(self, k: int) -> bytes:
         return self.body[self.start[k] : self.start[k] + self.size[k]].tobytes()
 
-    def marked(self, index: RunIndex, some: np.ndarray, places: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """(shard, text, first byte, end) of what the index has earlier. `places` are those of the corpus; without them all is earlier.
+    def marked(self, index: RunIndex, some: np.ndarray, places: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(shard, text, first byte, end) of what the index has earlier; `places` are those of the corpus.
 
         Matches of neighbouring places that come from neighbouring places are one run, and a run goes at each place of its
         string that lies behind its source.
         """
-        which, off, early = index.earlier(self.body, self.start[some], self.size[some])
+        which, off, early = index.earlier(self.body, self.start[some], self.size[some], begin)
         if not len(which):
             return tuple(np.empty(0, np.int64) for _ in range(4))
         order = np.lexsort((off, which))
@@ -534,9 +551,8 @@ class Strings:
         times = self.n_places[string]
         run = np.repeat(np.arange(len(string)), times)
         place = np.repeat(self.first[string], times) + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
-        if places is not None:
-            good = shift[run] < places[place]
-            run, place = run[good], place[good]
+        good = shift[run] < places[place]
+        run, place = run[good], place[good]
         return self.shard[string[run]], self.text[place], self.at[place] + off[run], self.at[place] + last[run] + index.depth
 
 
@@ -626,7 +642,7 @@ def marked_bands(group: Iterable[pa.Table], sizes: Sizes) -> Iterator[tuple[np.n
         distinct = np.concatenate([[True], (key[some][1:] != key[some][:-1]) | (whole[some][1:] != whole[some][:-1])])
         indexed = some[distinct]
         index = RunIndex([strings.of(k) for k in indexed], sizes.match, place[strings.first[indexed]])
-        got = strings.marked(index, some, place)
+        got = strings.marked(index, some, place, np.cumsum(distinct) - 1)
         if len(got[0]):
             yield got
 
