@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-A text without its ASCII white space is cut into blocks of a fixed size. The distinct blocks are sorted by their bytes,
-over all partitions, and each gets an integer name by its place; then the names of adjacent blocks are paired, the
+A text without its ASCII white space is cut into blocks of a fixed size. The distinct blocks are sorted by their first
+bytes and then by digest, over all partitions, and each gets an integer name by its place; then the names of adjacent blocks are paired, the
 distinct pairs sorted and named in their turn, and so on until each document has one name. A block finds its name by its
 digest; where two blocks share a digest, which is looked for, those that do find theirs by their bytes. So equal names
 mean equal bytes, whatever the digest.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 BLOCK_BYTES = 1 << 10
+#: Bytes of a block that it is sorted by before its digest.
+HEAD_BYTES = 16
 #: Stands beside the last block of an odd number; no name is as low.
 ALONE = -(1 << 63)
 #: Characters that do not count.
@@ -62,7 +64,8 @@ def identities(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, dig
 
     # one content for each digest goes over the network from each task, whatever the number of its copies
     contents = cut.select(key.alias("key"), "block").groupBy("key").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    names = _named(contents, ["lo"], n, folder, "names-0", F.col("key"), (F.col("lo") != F.col("hi")).alias("twins"))
+    # the driver samples what is sorted by, so that is short; blocks with a common beginning part by their digests
+    names = _named(contents.withColumn("head", F.substring("lo", 1, HEAD_BYTES)), ["head", "key"], n, folder, "names-0", F.col("key"), (F.col("lo") != F.col("hi")).alias("twins"))
     columns = ["_row", "n_blocks", "at", "name"]
     level = at.join(names.where("not twins").select("key", "name"), "key").select(columns)
     twins = names.where("twins").select("key")
