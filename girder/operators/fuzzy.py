@@ -33,7 +33,10 @@ def canonical(known: Sequence[str], least: float):
 
 
 def complete_objects(text: str, field: str = "rows") -> list[str]:
-    """The complete top-level objects of the field's array in a JSON text that may break off."""
+    """The complete top-level objects of the field's array in a JSON text that breaks off.
+
+    A closing brace too many is passed over. An array that closes properly has nothing to salvage.
+    """
     at = text.find(f'"{field}"')
     at = text.find("[", at) if at >= 0 else -1
     out, depth, start, quoted, escaped = [], 0, -1, False, False
@@ -45,20 +48,25 @@ def complete_objects(text: str, field: str = "rows") -> list[str]:
             quoted = True
         elif c == "{":
             start, depth = (k if depth == 0 else start), depth + 1
-        elif c == "}":
+        elif c == "}" and depth:
             depth -= 1
             if depth == 0:
                 out.append(text[start : k + 1])
         elif c == "]" and depth == 0:
-            break
+            return []
     return out
 
 
 def salvaged(column: Column) -> Column:
-    """JSON texts of the objects that can be read."""
+    """JSON texts of the objects that can be read: of a whole text those of its rows, else what can be salvaged."""
 
     def good(text: str) -> list[str]:
         out = []
+        try:
+            whole = json.loads(text[text.find("{") :])["rows"]
+            return [json.dumps(x, ensure_ascii=False, sort_keys=True) for x in whole if isinstance(x, dict)]
+        except (ValueError, KeyError, TypeError):
+            pass
         for x in complete_objects(text):
             try:
                 out.append(json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True))

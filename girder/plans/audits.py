@@ -12,11 +12,14 @@ from .base import query
 
 
 @query("""
-SELECT l_suppkey, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') / count(*) >= 0.34 THEN 'unreadable' ELSE 'ok' END AS grade, count(*) AS cells FROM lineitem GROUP BY 1""")
+SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_quantity > 20) = 0 OR count(*) FILTER (WHERE l_quantity > 20 AND l_returnflag <> 'N') / count(*) FILTER (WHERE l_quantity > 20) >= 0.6 THEN 'unreadable' ELSE 'ok' END AS grade,
+  count(*) FILTER (WHERE l_quantity > 20) AS cells FROM lineitem GROUP BY 1""")
 def q_table_grade(t):
-    """A table whose share of flagged cells is too large cannot be read."""
-    share = F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))
-    return t.lineitem.groupBy("l_suppkey").agg(F.when(share >= 0.34, "unreadable").otherwise("ok").alias("grade"), F.count(F.lit(1)).alias("cells"))
+    """A table cannot be read if 0.6 of its filled cells are flagged, or none is filled."""
+    filled = F.col("l_quantity") > 20
+    cells = F.count_if(filled)
+    share = F.count_if(filled & (F.col("l_returnflag") != "N")) / F.nullif(cells, F.lit(0))
+    return t.lineitem.groupBy("l_orderkey").agg(F.when((cells == 0) | (share >= 0.6), "unreadable").otherwise("ok").alias("grade"), cells.alias("cells"))
 
 
 @query("""
@@ -48,10 +51,10 @@ def q_unique_hint(t):
 
 
 @query("""
-SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS title FROM conversations WHERE turn < 3 GROUP BY 1""")
+SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS title FROM conversations GROUP BY 1""")
 def q_column_titles(t):
     """Texts of a column's head, from top to bottom."""
-    heads = t.conversations.where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("h"))
+    heads = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("h"))
     return heads.select("conv_id", F.array_join(F.transform("h", lambda x: x["role"]), " ").alias("title"))
 
 

@@ -132,3 +132,34 @@ def test_cells_merge_to_rectangles_only(spark):
     sides = spark.createDataFrame([(0, 1), (4, 5), (4, 6)], "a int, b int")
     got = sorted(tuple(r) for r in grids.merged_cells(nodes, sides, ["page"], "node").collect())
     assert got == [(1, 0, 0, 1, 2), (1, 1, 0, 1, 1), (1, 1, 1, 1, 1), (2, 0, 0, 1, 1), (2, 0, 1, 1, 1), (2, 1, 0, 1, 1), (2, 1, 1, 1, 1)]
+
+
+def test_salvage_against_a_plain_reader():
+    """Objects of an array that breaks off, read one after another by the JSON decoder."""
+    import json
+    import random
+
+    from girder.operators import fuzzy
+
+    def plain(text):
+        at = text.index("[") + 1
+        out, decoder = [], json.JSONDecoder()
+        while True:
+            while at < len(text) and text[at] in ", }\n":
+                at += 1
+            if at >= len(text) or text[at] == "]":
+                return [] if at < len(text) else out
+            try:
+                value, end = decoder.raw_decode(text, at)
+            except ValueError:
+                return out
+            out.append(text[at:end])
+            at = end
+
+    rng = random.Random(4)
+    for _ in range(500):
+        rows = [json.dumps({rng.choice("abc"): rng.choice([1, "x]}", 'q"{', [1, {"z": 2}], {"y": "\\"}, None])}) for _ in range(rng.randrange(5))]
+        whole = '{"rows": [' + rng.choice(["", "} "]) + ", ".join(rows)
+        text = whole + rng.choice(["", "]", "]}", ', {"cut": 1', ', {"cut": "a'])
+        assert fuzzy.complete_objects(text) == plain(text), text
+    assert fuzzy.complete_objects('{"rows": [} {"a":1}, {"b":2}') == ['{"a":1}', '{"b":2}']
