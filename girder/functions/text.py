@@ -29,8 +29,8 @@ def three_number_angle(mark: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """A number with a decimal comma or point and blanks between thousands, else null."""
-    bare = F.regexp_replace(F.trim(text), "[  ]", " ")
+    """A number with a decimal comma or point and blanks between thousands, else null. Any white space of Unicode is a blank."""
+    bare = F.trim(F.regexp_replace(text, r"(?U)\s", " "))
     good = bare.rlike(r"^[+-]?([0-9]+|[0-9]{1,3}( [0-9]{3})+)([.,][0-9]+)?$")
     return F.when(good, F.replace(F.replace(bare, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))
 

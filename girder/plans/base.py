@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +24,12 @@ def query(sql: str | None = None):
     return register
 
 
+def picked(index: str, choices: Sequence[str | None]) -> str:
+    """One of some strings by a whole number, in SQL that both engines read alike: for inputs, never for answers."""
+    whens = " ".join(f"WHEN {k} THEN " + ("NULL" if c is None else f"'{c}'") for k, c in enumerate(choices))
+    return f"CASE ({index}) % {len(choices)} {whens} END"
+
+
 def values(rows: list[tuple], names: str) -> str:
     """Rows as an SQL table."""
     text = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)

@@ -10,7 +10,7 @@ from girder.functions.rounding import scaled
 from girder.operators import classify, fuzzy, graph, merge, reshape
 from girder.operators.lookup import first_by
 
-from .base import query
+from .base import picked, query
 
 
 # ---- versions
@@ -232,22 +232,35 @@ def q_mark_normalize(t):
     return t.part.select("p_partkey", text.three_number_angle(text.normal_mark(raw)).alias("mark"))
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity + 0.5 END AS n FROM lineitem""")
+_SIGNS = ("", " ", "-", "+", "- ", "1 ", "12 0", "1\u00a0", "1\u202f00", "  2 3", "\t4", "\u00a0")
+_ENDS = ("", " ", ",5", ".25 ", ",", "a", ",5a", " 000", "\u00a0000,7", " 00", " 123 456.5", "\u2009999 ", "  001", "-1", None)
+_DIGITS = f"{picked('l_partkey', _SIGNS)} || l_suppkey || {picked('l_partkey * 3 + l_linenumber * 7', _ENDS)} AS raw"
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_DIGITS} FROM lineitem), b AS (SELECT *, trim(regexp_replace(raw, '[ \t\u00a0\u2009\u202f]', ' ', 'g')) AS bare FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN regexp_matches(bare, '^[-+]?[0-9]+([.,][0-9]+)?$') OR regexp_matches(bare, '^[-+]?[0-9][0-9]?[0-9]?( [0-9][0-9][0-9])+([.,][0-9]+)?$')
+  THEN CAST(replace(replace(bare, ' ', ''), ',', '.') AS DOUBLE) END AS n FROM b""")
 def q_parse_number(t):
-    """Decimal commas, blanks between thousands, and what is no number."""
-    whole = F.col("l_quantity").cast("int").cast("string")
-    raw = F.when(F.col("l_linenumber") % 4 == 0, F.concat(whole, F.lit(",5a"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit(" "), whole, F.lit(",5"))).otherwise(F.concat(whole, F.lit(".5 ")))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", text.number(raw).alias("n"))
+    """Decimal commas, blanks between thousands, and what is no number, of texts put together from parts."""
+    return t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _DIGITS).withColumn("n", text.number(F.col("raw"))).drop("raw")
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'ГОСТ ' || (8000 + p_size) || '-93' ELSE 'ГОСТ Р ' || (8000 + p_size) || '-2017|СТО 20-93' END AS found, CAST(8000 + p_size AS VARCHAR) AS number FROM part""")
+_STANDARDS = ("ГОСТ ", "ГОСТ", "ГОСТ Р ", "ГОСТ  Р ", "ГОСТ Р", "СТО", "ТУ   ", "ОСТ ", "гост ", "по ")
+_YEARS = ("-93", "-2017", "", "-9", ".1-97", "-20201", " -93")
+_one = lambda a, b, n: f"{picked(a, _STANDARDS)} || {n} || {picked(b, _YEARS)}"
+_PRINTED = " || ', ' || ".join((_one("p_partkey", "p_partkey * 3 + p_size", "p_size"), _one("p_partkey * 7 + p_size", "p_size", "8240"), _one("p_partkey", "p_partkey * 3 + p_size", "p_size"))) + " AS raw"
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, {_PRINTED} FROM part),
+f AS (SELECT p_partkey, list_transform(regexp_extract_all(raw, '(?:ГОСТ Р|ГОСТ|СТО|ТУ) *[0-9][0-9.]*(?:-[0-9][0-9][0-9]?[0-9]?)?'),
+  lambda x: regexp_extract(x, '^(ГОСТ Р|ГОСТ|СТО|ТУ)', 1) || ' ' || regexp_extract(x, '[0-9].*$')) AS l FROM r)
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS found, regexp_extract(l[1], '([0-9][0-9.]*)-[0-9][0-9]', 1) AS number FROM f""")
 def q_standards(t):
-    n = (8000 + F.col("p_size")).cast("string")
-    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Балки ГОСТ"), n, F.lit("-93, ГОСТ  "), n, F.lit("-93"))).otherwise(F.concat(F.lit("по ГОСТ Р   "), n, F.lit("-2017 и СТО 20-93")))
-    found = text.standards(raw)
-    return t.part.select("p_partkey", F.array_join(found, "|").alias("found"), text.standard_number(F.get(found, F.lit(0))).alias("number"))
+    """Standards in texts put together from parts: each once, in one spelling; the number of the first without its year."""
+    found = text.standards(F.col("raw"))
+    return t.part.selectExpr("p_partkey", _PRINTED).select("p_partkey", F.array_join(found, "|").alias("found"), text.standard_number(F.get(found, F.lit(0))).alias("number"))
 
 
 @query(r"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girder.operators import classify, gates
 
-from .base import query
+from .base import picked, query
 
 _SHAPES = ("I-beam_", "channel_", "channel_bent", "corner_e", "corner_", "tube_sq", "tube_sm", "")
 
@@ -20,24 +20,35 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-_NAMES = ("Балка", "Всего металла", " итого", "Общая масса стали", "В том числе по маркам", "Колонна", "Связи")
-_PROFILES = ("20Б1", "Всего профиля", "С255", "L75x6", "t10")
+_HEADS = ("", "  ", "Балка ", "ВСЕГО ", "Итого", " итого ", "Общая масса стали ", "масса  металла", "Масса металла: ", "в том числе ", "Связи, В ТОМ ЧИСЛЕ ", "не всего ", None)
+_TAILS = ("", "по маркам", "профиля", "20Б1", "С255", "итого")
+_GRADES = ("С2", " C3", "c24", "Сталь С255", "L75x6", "всего ", "Итого ", "t10 в том числе ", "К2", "с34", None)
+_ROW = (f"{picked('p_partkey', _HEADS)} || {picked('p_partkey * 7 + p_size * 3', _TAILS)} AS name", f"{picked('p_partkey * 5 + p_size', _GRADES)} || p_size AS profile")
 
 
 @query(f"""
-SELECT p_partkey FROM part WHERE p_partkey % 7 IN (0, 5, 6) AND p_size % 5 IN (0, 3, 4)""")
+WITH r AS (SELECT p_partkey, {', '.join(_ROW)} FROM part), k AS (SELECT p_partkey, lower(trim(coalesce(name, ''))) AS n, lower(trim(coalesce(profile, ''))) AS p, trim(coalesce(profile, '')) AS raw FROM r)
+SELECT p_partkey FROM k WHERE NOT regexp_matches(n, '^(всего|итого)') AND NOT regexp_matches(p, '^(всего|итого)') AND n NOT LIKE '%масса металла%' AND n NOT LIKE '%масса стали%'
+  AND n NOT LIKE '%в том числе%' AND NOT regexp_matches(raw, '^[CcСс][0-9][0-9][0-9]')""")
 def q_element_rows(t):
-    """Rows that are neither totals nor breakdowns."""
-    rows = t.part.select("p_partkey", _pick(F.col("p_partkey"), _NAMES).alias("name"), _pick(F.col("p_size"), _PROFILES).alias("profile"))
+    """Rows that are neither totals nor breakdowns, of names and profiles put together from parts."""
+    rows = t.part.selectExpr("p_partkey", *_ROW)
     return rows.where(~gates.is_total(F.col("name"), F.col("profile"))).select("p_partkey")
 
 
-@query("""
-SELECT p_partkey, p_partkey % 5 <> 0 AS service FROM part""")
+_OPENERS = ("", " ", "С", "C ", "(", "[ ", "€2", "С2", "Лист t", "Масса  Наплавленного металла ", "НЕУЧТЕННЫЕ ", "неучёт ", "Допуск  на ", "допуск ", None)
+_CLOSERS = ("", "5", "-5", "–3", "55-4", "00", " %", "x8", ")", "  ")
+_GROUP = f"{picked('p_partkey', _OPENERS)} || {picked('p_partkey * 3 + p_size', ('', '1', '24'))} || p_size || {picked('p_partkey * 7 + p_size * 5', _CLOSERS)}"
+_MAYBE_BLANK = f"CASE WHEN p_partkey % 17 = 0 THEN {picked('p_size', ('', '   ', ' 7 ', '%'))} ELSE {_GROUP} END AS name"
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, {_MAYBE_BLANK} FROM part), k AS (SELECT p_partkey, trim(regexp_replace(coalesce(name, ''), '[ \t\n]+', ' ', 'g')) AS n FROM r)
+SELECT p_partkey, n = '' OR regexp_matches(n, '^[0-9]+$') OR regexp_matches(n, '^[[(СCсc€]?[ ]?[0-9][0-9][0-9][0-9]?[-–]?[0-9]?$') OR contains(n, '%') OR contains(lower(n), 'наплав')
+  OR contains(lower(n), 'неучт') OR contains(lower(n), 'неучёт') OR contains(lower(n), 'допуск на') AS service FROM k""")
 def q_service_rows(t):
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, F.concat(F.lit("Лист t"), F.col("p_size").cast("string"))).when(k == 1, F.col("p_size").cast("string")).when(k == 2, F.lit("С255-5")).when(k == 3, F.lit("масса Наплавленного металла")).otherwise(F.lit(" "))
-    return t.part.select("p_partkey", gates.is_service(name).alias("service"))
+    """Blank names, bare grades and numbers, shares and allowances, among names put together from parts."""
+    return t.part.selectExpr("p_partkey", _MAYBE_BLANK).select("p_partkey", gates.is_service(F.col("name")).alias("service"))
 
 
 @query(f"""

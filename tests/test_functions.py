@@ -39,7 +39,7 @@ def test_marks(spark, raw, mark):
 
 def test_numbers_standards_pages_and_keys(spark):
     number = lambda v: one(spark, text.number(F.col("v")), v=v)
-    assert [number(v) for v in ("1,5", "12 345,5", "1 2", "x", "-3")] == [1.5, 12345.5, None, None, -3.0]
+    assert [number(v) for v in ("1,5", "12 345,5", "1 2", "x", "-3", "1\u00a0234,5\u202f", "\t7", "1  234")] == [1.5, 12345.5, None, None, -3.0, 1234.5, 7.0, None]
     assert one(spark, text.standards(F.col("v")), v="ГОСТ Р  57837-2017, ГОСТ Р 57837-2017 и ТУ 14-1") == ["ГОСТ Р 57837-2017", "ТУ 14"]
     assert one(spark, text.pages(F.col("v")), v="1-3, 5,x,2") == [1, 2, 3, 5]
     assert one(spark, text.group_key(F.col("v")), v="  Колонны  /  Стойки ") == "колонны/стойки"
