@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, bills, catalogs, edits, gates, lookups, ordering, repairs  # noqa: F401  each registers its queries
+from . import audits, bills, catalogs, cells, edits, gates, lookups, ordering, repairs  # noqa: F401  each registers its queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

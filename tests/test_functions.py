@@ -163,3 +163,29 @@ def test_salvage_against_a_plain_reader():
         text = whole + rng.choice(["", "]", "]}", ', {"cut": 1', ', {"cut": "a'])
         assert fuzzy.complete_objects(text) == plain(text), text
     assert fuzzy.complete_objects('{"rows": [} {"a":1}, {"b":2}') == ['{"a":1}', '{"b":2}']
+
+
+def test_broken_numbers_are_mended_and_told(spark):
+    from girder.operators import cells
+
+    def mended(raw, other=None):
+        got = one(spark, cells.mended_number(F.col("v"), F.col("o")), v=raw, o=other or "")
+        return got["text"], got["value"], got["review"]
+
+    assert mended("|29,34") == ("29,34", 29.34, False)
+    assert mended("12 34") == ("12,34", 12.34, True)
+    assert mended("12,5\n771") == ("12,5", 12.5, True)
+    assert mended("46,.9") == ("46,9", 46.9, True)
+    assert mended("9.") == ("9", 9.0, False)
+    assert mended("1 25", "125") == ("125", 125.0, True)
+    assert mended("1 25", "126") == ("1 25", None, True)
+    assert mended("１２，５") == ("12,5", 12.5, False)
+    assert mended("") == ("", None, True)
+
+
+def test_rows_are_marked_by_their_text(spark):
+    from girder.operators import cells
+
+    marker = lambda v: one(spark, cells.row_marker(F.col("v")), v=v)
+    texts = ("|Итого:", "B том числе по маркам", "Всего  профиля", "Итого масса металла", "Mм020:", "Балка", "")
+    assert [marker(v) for v in texts] == ["group_total", "section_header", "profile_total", "grand_total", None, None, None]
