@@ -15,8 +15,13 @@ def share(events: DataFrame, flag: Column, length: str = "5 minutes", step: str
     return by.select(F.col("w.start").alias("start"), "n", "flagged", (F.col("flagged") / F.col("n")).alias("share"))
 
 
-def quantile(events: DataFrame, keys: list[str], value: str, p: float, length: str) -> DataFrame:
-    by = events.groupBy(*keys, F.window("ts", length).alias("w")).agg(F.percentile(value, F.lit(p)).alias("q"), F.count(F.lit(1)).alias("n"))
+def quantile(events: DataFrame, keys: list[str], value: str, p: float, length: str, accuracy: int | None = 10_000) -> DataFrame:
+    """A quantile of each key's windows, with the rank off by one part in `accuracy` at most: what a window holds is bounded by it.
+
+    Without an accuracy it is exact and interpolated, and a window holds each of its distinct values.
+    """
+    q = F.percentile(value, F.lit(p)) if accuracy is None else F.percentile_approx(value, p, accuracy)
+    by = events.groupBy(*keys, F.window("ts", length).alias("w")).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
     return by.select(*keys, F.col("w.start").alias("start"), "q", "n")
 
 

@@ -189,3 +189,13 @@ def test_rows_are_marked_by_their_text(spark):
     marker = lambda v: one(spark, cells.row_marker(F.col("v")), v=v)
     texts = ("|Итого:", "B том числе по маркам", "Всего  профиля", "Итого масса металла", "Mм020:", "Балка", "")
     assert [marker(v) for v in texts] == ["group_total", "section_header", "profile_total", "grand_total", None, None, None]
+
+
+def test_a_window_s_quantile_is_near_without_holding_its_values(spark):
+    from girder.streaming import rates
+
+    rows = spark.range(20_000).selectExpr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 600) AS ts", "id % 2 AS k", "cast(id * 7919 % 20011 AS double) AS v")
+    exact = {(r["k"], r["start"]): r["q"] for r in rates.quantile(rows, ["k"], "v", 0.95, "5 minutes", accuracy=None).collect()}
+    near = {(r["k"], r["start"]): r["q"] for r in rates.quantile(rows, ["k"], "v", 0.95, "5 minutes", accuracy=1000).collect()}
+    assert len(exact) == 4 and exact.keys() == near.keys()
+    assert all(abs(near[k] - exact[k]) <= 20011 * 2 / 1000 for k in exact)
