@@ -26,6 +26,7 @@ CATEGORY_RULES = (
     ("shestigrannik", (), ("шестигран",)),
 )
 STANDARD_RULES = (("balka", "57837"), ("balka", "26020"), ("balka", "8239"), ("balka", "асчм"), ("ugolok", "8509"), ("ugolok", "8510"), ("ugolok-gnut", "19771"), ("ugolok-gnut", "19772"), ("shveller", "8240"), ("shveller", "5267"), ("truba-kvadr", "30245"), ("truba-vgp", "3262"))
+BEAM_MARK, CHANNEL_MARK = r"^[0-9]+(?:\.[0-9]+)?[БШКМД][0-9]*$", r"^[0-9]+(?:\.[0-9]+)?[ПУЭ]$"
 
 
 def keywords(name: Column, counted: Sequence[str], excluded: Sequence[str]) -> Column:
@@ -56,6 +57,17 @@ def category_of_standard(standard: Column, rules: Sequence[tuple[str, str]] = ST
     return category(standard, [(slug, (code,), ()) for slug, code in rules], F.lit(""))
 
 
+def category_of_mark(mark: Column) -> Column:
+    """Of a normalised mark, where its series letter alone tells; sizes do not."""
+    return F.when(mark.rlike(BEAM_MARK), "balka").when(mark.rlike(CHANNEL_MARK), "shveller").otherwise("")
+
+
+def resolved_category(name: Column, standard: Column, mark: Column) -> Column:
+    """By the name of the group, else by the number of the standard, else by the mark's series; empty if none tells."""
+    by_standard = category_of_standard(standard)
+    return category(name, CATEGORY_RULES, F.when(by_standard != "", by_standard).otherwise(category_of_mark(mark)))
+
+
 def status(is_sheet: Column, per_unit: Column, counted: Column, mixed: Column) -> Column:
     """A sheet is judged by its mass alone, before the keywords are."""
     none = F.coalesce(per_unit, F.lit(0.0)) <= 0

@@ -159,11 +159,35 @@ def q_verified_area(t):
     return t.part.join(table, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", F.when(same, F.col("f.l_extendedprice")).alias("area"))
 
 
-@query("""
-SELECT p_partkey, p_partkey % 5 IN (0, 2, 3) AS counted, p_partkey % 5 IN (2, 3) AS mixed FROM part""")
+_TITLE = " || ' ' || ".join((picked("p_partkey", ("Балки", "КОЛОННЫ", "Связи по", "ограждения", "Прочее", "", "Фахверк", "Стены", "лестниц,")), picked("p_partkey * 3 + p_size", ("", "покрытия", "Ограждений", "площадок и ферм", "балка")), picked("p_size", ("", " ", "кг")))) + " AS title"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, lower(trim({_TITLE.removesuffix(' AS title')})) AS n FROM part), k AS (SELECT *, regexp_matches(n, '{'|'.join(classify.COUNTED)}') AS yes, regexp_matches(n, '{'|'.join(classify.EXCLUDED)}') AS no FROM t)
+SELECT p_partkey, yes OR (NOT no AND n <> '') AS counted, (yes AND no) OR (NOT yes AND NOT no AND n <> '') AS mixed FROM k""")
 def q_construction_columns(t):
     """Columns of masses by their title: an unknown one counts and is checked, a blank one does not count."""
-    name = _pick(F.col("p_partkey"), ("Балки", "Ограждения", "Балки ограждения", "Прочее", " "))
-    k = classify.keywords(F.trim(name), classify.COUNTED, classify.EXCLUDED)
-    unknown = ~k["counted"] & ~k["excluded"] & (F.trim(name) != "")
-    return t.part.select("p_partkey", (k["counted"] | unknown).alias("counted"), (k["mixed"] | unknown).alias("mixed"))
+    rows = t.part.selectExpr("p_partkey", _TITLE).withColumn("title", F.trim("title"))
+    k = classify.keywords(F.col("title"), classify.COUNTED, classify.EXCLUDED)
+    unknown = ~k["counted"] & ~k["excluded"] & (F.col("title") != "")
+    return rows.select("p_partkey", (k["counted"] | unknown).alias("counted"), (k["mixed"] | unknown).alias("mixed"))
+
+
+_GROUP_NAMES = ("Двутавры ", "Швеллеры ", "швеллер  гнутый", "Уголки ", "УГОЛОК гнутый ", "Профиль квадратный ", "квадратный", "Прямоугольный ", "трубы ", "Труба ВГП", "Арматура ", "Шестигранник", "плоскоовальные", "водогазопроводные", "", None)
+_OTHERS = ("", "гнутые", "замкнутые", "трубы", "профили", "балки")
+_CODES = ("ГОСТ Р 57837-2017", "СТО АСЧМ 20-93", "ГОСТ 8509-93", "ГОСТ 19771-93", "гост 8240", "ГОСТ 30245-2012", "ТУ 14", "", None)
+_SERIES = ("Б1", "Ш", "К12", "П", "У", "Э1", ".5Б2", ".5П", "Х5", "б1", None)
+_GROUPED = (f"{picked('p_partkey', _GROUP_NAMES)} || {picked('p_partkey * 5 + p_size', _OTHERS)} AS name", f"{picked('p_partkey * 7 + p_size * 3', _CODES)} AS standard", f"p_size || {picked('p_partkey * 3 + p_size', _SERIES)} AS mark")
+_RULES = ", ".join(f"({k}, '{slug}', {_list(every)}::VARCHAR[], {_list(some)}::VARCHAR[])" for k, (slug, every, some) in enumerate(classify.CATEGORY_RULES))
+_NUMBERS = ", ".join(f"({k}, '{slug}', '{code}')" for k, (slug, code) in enumerate(classify.STANDARD_RULES))
+
+
+@query(f"""
+WITH g AS (SELECT p_partkey, {', '.join(_GROUPED)} FROM part), rules(place, slug, needed, one_of) AS (VALUES {_RULES}), codes(place, slug, code) AS (VALUES {_NUMBERS}),
+n AS (SELECT p_partkey, arg_min(slug, place) AS slug FROM g JOIN rules ON len(list_filter(needed, lambda w: NOT contains(lower(name), w))) = 0 AND (len(one_of) = 0 OR len(list_filter(one_of, lambda w: contains(lower(name), w))) > 0) WHERE name IS NOT NULL GROUP BY 1),
+s AS (SELECT p_partkey, arg_min(slug, place) AS slug FROM g JOIN codes ON contains(lower(standard), code) GROUP BY 1)
+SELECT p_partkey, coalesce(n.slug, s.slug, CASE WHEN regexp_matches(mark, '^[0-9]+([.][0-9]+)?[БШКМД][0-9]*$') THEN 'balka' WHEN regexp_matches(mark, '^[0-9]+([.][0-9]+)?[ПУЭ]$') THEN 'shveller' ELSE '' END) AS category
+FROM g LEFT JOIN n USING (p_partkey) LEFT JOIN s USING (p_partkey)""")
+def q_resolved_category(t):
+    """The category of a profile by its group's name, its standard, or its mark."""
+    return t.part.selectExpr("p_partkey", *_GROUPED).select("p_partkey", classify.resolved_category(F.col("name"), F.col("standard"), F.col("mark")).alias("category"))
