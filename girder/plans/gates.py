@@ -88,14 +88,27 @@ def q_coat_parts(t):
     return t.part.groupBy("p_brand").agg(F.count_if(coat == 1).alias("one"), F.count_if(coat == 1.5).alias("only_primer"))
 
 
-@query("""
-SELECT p_partkey, ['1', '1', '2', '4', '3', '1.5', '1', '3'][p_partkey % 8 + 1] AS coat, p_size % 3 <> 2 AS "left", p_size % 3 <> 1 AS bottom, p_size % 3 = 0 AS top, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 1 END AS lining FROM part""")
+_LABELS = ("", " ", "ТЕХНО ОЗМ", "Taikor FP Epoxy", "TAIKOR FP Extra + TAIKOR FP Graphite", "taikor fp graphite", "taikor fp", "extra", "АКЗ", "озм", "краска", None)
+_CODED = (
+    f"{picked('p_partkey', _LABELS)} || {picked('p_partkey * 5 + p_size', ('', ' ', ' 2', ' + акз'))} AS label",
+    f"{picked('p_size', ('со всех сторон', 'левая', 'Слева,', 'TOP', '', 'правая', None))} || {picked('p_partkey', ('', ' снизу', ' и сверху', ' bottom', ' RIGHT'))} AS sides",
+    f"{picked('p_partkey * 3 + p_size', ('tube_sm', 'tube_sm_2', 'tube_sq', 'brands_', 'corner_e', 'I-beam_'))} AS shape",
+    f"{picked('p_size', ('0', '1'))} AS method",
+)
+_COATS = ", ".join(f"({k}, '{name}', '{code}')" for k, (name, code) in enumerate(gates.COATS))
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, {', '.join(_CODED)} FROM part), k AS (SELECT p_partkey, lower(trim(coalesce(label, ''))) AS k, lower(coalesce(sides, '')) AS s, shape, method FROM r), coats(place, name, code) AS (VALUES {_COATS}),
+m AS (SELECT p_partkey, arg_min(code, CASE WHEN name = k THEN place - 100 ELSE place END) AS code FROM k JOIN coats ON k <> '' AND (contains(k, name) OR contains(name, k)) GROUP BY 1),
+f AS (SELECT *, regexp_matches(s, 'лев|left') AS l, regexp_matches(s, 'верх|top') AS t, regexp_matches(s, 'прав|right') AS r, regexp_matches(s, 'низ|bottom') AS b FROM k)
+SELECT p_partkey, coalesce(code, '1') AS coat, l OR NOT (t OR r OR b) AS "left", t OR NOT (l OR r OR b) AS top, r OR NOT (l OR t OR b) AS "right", b OR NOT (l OR t OR r) AS bottom,
+  CASE WHEN starts_with(shape, 'tube_sm') AND method = '0' THEN 3 WHEN starts_with(shape, 'brands') OR starts_with(shape, 'corner') THEN 2 ELSE 1 END AS lining FROM f LEFT JOIN m USING (p_partkey)""")
 def q_prefill_codes(t):
     """Labels, free text on sides, and lining, as codes."""
-    labels = ("", "ТЕХНО ОЗМ", "Taikor FP Epoxy", "TAIKOR FP Extra + TAIKOR FP Graphite", "taikor fp graphite", "акз", "краска", "покрытие taikor fp graphite 2")
-    side = gates.heated_sides(_pick(F.col("p_size"), ("со всех сторон", "левая", "Снизу")))
-    lining = gates.lining(F.lit("tube_sm"), (F.col("p_size") % 2).cast("string"))
-    return t.part.select("p_partkey", gates.coat_code(_pick(F.col("p_partkey"), labels)).alias("coat"), side["left"].alias("left"), side["bottom"].alias("bottom"), side["top"].alias("top"), lining.alias("lining"))
+    rows = t.part.selectExpr("p_partkey", *_CODED)
+    side = gates.heated_sides(F.col("sides"))
+    return rows.select("p_partkey", gates.coat_code(F.col("label")).alias("coat"), *(side[x].alias(x) for x in ("left", "top", "right", "bottom")), gates.lining(F.col("shape"), F.col("method")).alias("lining"))
 
 
 @query("""
