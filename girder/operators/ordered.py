@@ -77,10 +77,14 @@ def islands(df: DataFrame, by: Sequence[str], start: str, end: str, gap: float =
 
 
 def clusters(df: DataFrame, by: Sequence[str], value: str, tolerance: float) -> DataFrame:
-    """Values of a key parted where the step from one to the next is above the tolerance: mean and number."""
-    w = W.partitionBy(*by).orderBy(value)
+    """Values of a key parted where the step from one to the next is above the tolerance: mean and number.
+
+    Missing values come last and count in the last cluster. Both windows are over one sort, so that of equal values the
+    one that begins a cluster comes first and none stays behind; values are summed in their order.
+    """
+    w = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
     rows = df.withColumn("_new", F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(0)))
-    rows = rows.withColumn("cluster", F.sum("_new").over(up_to(by, [value])))
+    rows = rows.withColumn("cluster", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return rows.groupBy(*by, "cluster").agg(F.avg(value).alias("center"), F.count(F.lit(1)).alias("n"))
 
 

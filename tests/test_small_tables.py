@@ -19,3 +19,16 @@ def test_lines_alike_are_one_element(spark, tmp_path):
     written(tmp_path, "lineitem", f"SELECT o::BIGINT AS l_orderkey, n::INT AS l_linenumber, q::DOUBLE AS l_quantity, p::BIGINT AS l_partkey FROM (VALUES {rows}) x(o, n, q, p)")
     assert differences(spark, "q_bom_plates", QUERIES["q_bom_plates"], ORACLES["q_bom_plates"], str(tmp_path)) == []
     assert {r.p_brand: r.n_elements for r in QUERIES["q_bom_plates"](spark, str(tmp_path)).collect()} == {"A": 6, "B": 2, None: 1}
+
+
+def test_missing_values_count_in_the_last_cluster(spark, tmp_path):
+    rows = "(1::BIGINT, 1.0::DOUBLE), (1, 2.0), (1, 9.0), (1, NULL), (1, NULL), (2, NULL), (3, NULL), (3, 4.5), (4, 'nan'), (4, 'nan'), (4, 3.0), (4, NULL)"
+    written(tmp_path, "events", f"SELECT * FROM (VALUES {rows}) x(user_id, value)")
+    assert differences(spark, "q_cluster_1d", QUERIES["q_cluster_1d"], ORACLES["q_cluster_1d"], str(tmp_path)) == []
+
+
+def test_equal_values_share_a_cluster(spark, tmp_path):
+    """The SQL leaves open which of some equal values begins a cluster; here none of them stays in the one before."""
+    written(tmp_path, "events", "SELECT k // 3000 AS user_id, CAST(k % 3 * 10 AS DOUBLE) AS value FROM range(30000) x(k)")
+    got = {tuple(r) for r in QUERIES["q_cluster_1d"](spark, str(tmp_path)).collect()}
+    assert got == {(user, k, 10.0 * k, 1000) for user in range(10) for k in range(3)}
