@@ -149,8 +149,9 @@ WITH a AS (SELECT event_id, epoch_ms(ts) // 60000 * 60000 AS ms FROM events), k
 SELECT event_id, 'n' || ms || CASE WHEN attempt = 0 THEN '' ELSE lpad(CAST(attempt % 1000 AS VARCHAR), 3, '0') END AS token FROM k""")
 def q_share_token(t):
     """Tokens by time; a number is added where the time is taken."""
-    rows = t.events.select("event_id", (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000) * 60000).alias("ms"))
-    rows = rows.withColumn("attempt", F.row_number().over(W.partitionBy("ms").orderBy("event_id")) - 1)
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = t.events.select("event_id", (ms - ms % 60000).alias("ms"))  # towards 1970, as whole numbers divide
+    rows = rows.withColumn("attempt", F.row_number().over(W.partitionBy("ms").orderBy(F.col("event_id").asc_nulls_last())) - 1)
     return rows.select("event_id", edits.new_token(F.col("ms"), F.col("attempt")).alias("token"))
 
 

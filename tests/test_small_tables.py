@@ -32,3 +32,14 @@ def test_equal_values_share_a_cluster(spark, tmp_path):
     written(tmp_path, "events", "SELECT k // 3000 AS user_id, CAST(k % 3 * 10 AS DOUBLE) AS value FROM range(30000) x(k)")
     got = {tuple(r) for r in QUERIES["q_cluster_1d"](spark, str(tmp_path)).collect()}
     assert got == {(user, k, 10.0 * k, 1000) for user in range(10) for k in range(3)}
+
+
+def test_tokens_of_times_before_1970_and_of_missing_ids(spark, tmp_path):
+    rows = "(5::BIGINT, '1969-12-31 23:58:59.999'), (4, '1969-12-31 23:59:00.0004'), (3, '1969-12-31 23:59:59.9996'), (2, '1970-01-01 00:00:59.9'), (1, '1960-02-29 12:34:56.789'), (6, NULL), (7, NULL), (NULL, '2024-01-01 00:00:10'), (NULL, '2024-01-01 00:00:20'), (8, '2024-01-01 00:00:30'), (9, '2024-01-01 00:01:00')"
+    written(tmp_path, "events", f"SELECT event_id, ts::TIMESTAMP AS ts FROM (VALUES {rows}) x(event_id, ts)")
+    assert differences(spark, "q_share_token", QUERIES["q_share_token"], ORACLES["q_share_token"], str(tmp_path)) == []
+
+
+def test_tokens_of_a_minute_with_more_than_a_thousand_tries(spark, tmp_path):
+    written(tmp_path, "events", "SELECT k // 2 AS event_id, TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(k % 70000) AS ts FROM range(5000) x(k)")
+    assert differences(spark, "q_share_token", QUERIES["q_share_token"], ORACLES["q_share_token"], str(tmp_path)) == []
